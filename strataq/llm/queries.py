@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataq.common import table
 from strataq.llm.containers import fill_containers, fill_report
+from strataq.llm.garbling import find_garbled
 from strataq.llm.mixing import mix, shares, sized_texts
 from strataq.llm.pairs import documented, pairs
 
@@ -43,5 +44,13 @@ def p7_shares_of_all(spark: SparkSession, d: str) -> DataFrame:
     return shares(mix(documents, targets, total_tokens=size), targets)
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_pairs, p6_containers, p6_report, p7_mix, p7_shares, p7_shares_of_all)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_garbled(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    return find_garbled(table(spark, d, "documents"), with_text=True)
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_pairs, p6_containers, p6_report, p7_mix, p7_shares, p7_shares_of_all, p8_found, p8_restored)}
 SQL: dict[str, str] = {}
