@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from strataq.common import table
 from strataq.llm.containers import fill_containers, fill_report
 from strataq.llm.garbling import find_garbled
+from strataq.llm.handwritten import judged
 from strataq.llm.mixing import mix, shares, sized_texts
 from strataq.llm.pairs import documented, pairs
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return judged(table(spark, d, "source_files")).select("file_id")
+
+
+def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return judged(table(spark, d, "source_files"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return documented(table(spark, d, "source_files"))
 
@@ -52,5 +61,5 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     return find_garbled(table(spark, d, "documents"), with_text=True)
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_pairs, p6_containers, p6_report, p7_mix, p7_shares, p7_shares_of_all, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p5_found, p5_pairs, p6_containers, p6_report, p7_mix, p7_shares, p7_shares_of_all, p8_found, p8_restored)}
 SQL: dict[str, str] = {}
