@@ -63,16 +63,14 @@ def combine(daily: DataFrame, group: str, day: str, since: str | None = None, un
     return daily.groupBy("measure_name", group, "value").agg(F.sum("n").alias("n"))
 
 
-def percentiles(counts: DataFrame, group: str, probs: Sequence[tuple[str, float]]) -> DataFrame:
-    """(group, measure_name, n, one column per probability) from group-value counts.
+def values_at_ranks(counts: DataFrame, keys: Sequence[str], ranks: dict[str, Column]) -> DataFrame:
+    """(keys, n, one column per rank) from (keys, value, n): the least value whose cumulative count reaches the rank.
 
-    A percentile q is the least value whose cumulative count reaches ceil(q*n).
-    No task ever holds a whole group: value counts are split by range, and only
-    one total per group and partition is gathered to add the offsets.
-    An empty input gives no rows; a group of nulls only is absent.
+    ranks are expressions over the column total, the number of values of a
+    group. No task ever holds a whole group: value counts are split by range,
+    and only one total per group and partition is gathered to add the offsets.
     """
-    keys = ["measure_name", group]
-    ranged = counts.repartitionByRange("measure_name", F.col(group), "value").withColumn("_part", F.spark_partition_id())
+    ranged = counts.repartitionByRange(*keys, "value").withColumn("_part", F.spark_partition_id())
     fixed = stash(ranged, "value-counts")
     in_part = Window.partitionBy("_part", *keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     running = fixed.withColumn("_run", F.sum("n").over(in_part))
@@ -80,17 +78,31 @@ def percentiles(counts: DataFrame, group: str, probs: Sequence[tuple[str, float]
     whole = Window.partitionBy(*keys)
     offsets = totals.select(
         F.col("_part").alias("_p"),
-        F.col("measure_name").alias("_m"),
-        F.col(group).alias("_g"),
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.coalesce(F.sum("_here").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_here").over(whole).alias("_all"),
+        F.sum("_here").over(whole).alias("total"),
     )
-    placed = running.join(
-        offsets,
-        (F.col("_part") == F.col("_p")) & (F.col("measure_name") == F.col("_m")) & F.col(group).eqNullSafe(F.col("_g")),
-    ).withColumn("_cum", F.col("_run") + F.col("_before"))
-    # a value serves a target when the cumulative count reaches it here and not before
-    return placed.groupBy(group, "measure_name").agg(
-        F.max("_all").alias("n"),
-        *[F.min(F.when(F.col("_cum") >= F.ceil(F.lit(q) * F.col("_all")), F.col("value"))).alias(name) for name, q in probs],
+    on = F.col("_part") == F.col("_p")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    placed = running.join(offsets, on).withColumn("_cum", F.col("_run") + F.col("_before"))
+    return placed.groupBy(*keys).agg(
+        F.max("total").alias("n"),
+        *[F.min(F.when(F.col("_cum") >= rank, F.col("value"))).alias(name) for name, rank in ranks.items()],
     )
+
+
+def percentiles(counts: DataFrame, group: str, probs: Sequence[tuple[str, float]]) -> DataFrame:
+    """(measure_name, group, n, one column per probability) from group-value counts.
+
+    A percentile q is the least value whose cumulative count reaches ceil(q*n).
+    An empty input gives no rows; a group of nulls only is absent.
+    """
+    return values_at_ranks(counts, ["measure_name", group], {name: F.ceil(F.lit(q) * F.col("total")) for name, q in probs})
+
+
+def exact_median(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, n, median): the middle value, or the mean of the two middle ones. Null values do not count."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    half = (F.col("total") + 1) / 2
+    return values_at_ranks(counts, keys, {"_low": F.floor(half), "_high": F.ceil(half)}).select(*keys, "n", ((F.col("_low") + F.col("_high")) / 2).alias("median"))
