@@ -111,7 +111,9 @@ def solve(parts: DataFrame, degree: int) -> DataFrame:
             out += [(k, -1, 0)] if got is None else [(k, 0, h) for h in got[0]] + [(k, 1, h) for h in got[1]]
         yield pd.DataFrame(out, columns=["bucket", "side", "hash"])
 
-    return parts.repartition("bucket").mapInPandas(run, "bucket long, side int, hash long")
+    # sketches are small but costly to solve: a fixed number of partitions is not coalesced by size
+    tasks = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts.sparkSession.sparkContext.defaultParallelism)
+    return parts.repartition(tasks, "bucket").mapInPandas(run, "bucket long, side int, hash long")
 
 
 def differing_hashes(a: DataFrame, b: DataFrame) -> DataFrame:
