@@ -106,8 +106,13 @@ def duplicate_shapes(files: DataFrame) -> DataFrame:
 
 def go_helpers(files: DataFrame) -> DataFrame:
     """(name, file, package, arity) of unexported top-level functions; the arity of a list that never closes is null."""
-    arity = F.udf(arity_at, "array<struct<name:string,arity:int>>")
-    heads = files.where(F.col("rel").endswith(".go") & F.col("text").rlike(GO_FUNC)).select(F.col("rel").alias("file"), F.inline(arity("text")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(f, n, a) for f, t in zip(b["rel"], b["text"]) for n, a in arity_at(t)]
+            yield pd.DataFrame(rows, columns=["file", "name", "arity"]).astype({"arity": "Int64"})
+
+    heads = files.where(F.col("rel").endswith(".go") & F.col("text").rlike(GO_FUNC)).select("rel", "text").mapInPandas(run, "file string, name string, arity int")
     # a file at the root has no directory; its name less the last letter stands for one, so each is on its own
     package = F.when(F.col("file").contains("/"), F.regexp_replace("file", r"/[^/]*$", "")).otherwise(F.expr("left(file, length(file) - 1)"))
     return heads.select("name", "file", package.alias("package"), "arity")
