@@ -1,4 +1,4 @@
-"""The two extractions from script and Go texts that need counted brackets."""
+"""What script and Go texts declare, without parsing them."""
 
 from __future__ import annotations
 
@@ -6,6 +6,14 @@ import re
 
 _HEAD = re.compile(r"(?:export\s+)?(?:interface\s+([A-Za-z_$][\w$]*)[^{]*|type\s+([A-Za-z_$][\w$]*)\s*=\s*)\{")
 _FIELD = re.compile(r"\s*(?:readonly\s+)?([A-Za-z_$][\w$]*)\s*\??\s*:")
+#: FIXED VALUES: what declarations look like; valid in RE2 as well.
+DECLARED = r"(?m)^[ \t]*export[ \t]+(?:async[ \t]+)?(?:function|const|let|class|interface|type|enum)[ \t]+([A-Za-z_$][\w$]*)"
+DECLARED_MORE = r"(?m)^[ \t]*export[ \t]+(?:const|let)[ \t]+[A-Za-z_$][\w$]*[ \t]*=[^,;(\[{\n]*((?:,[ \t]*[A-Za-z_$][\w$]*[ \t]*=[^,;(\[{\n]*)+)$"
+NEXT_NAME = r",[ \t]*([A-Za-z_$][\w$]*)[ \t]*="
+_CONSTANT = re.compile(r"^[ \t]*(?:export[ \t]+)?const[ \t]+([A-Za-z_$][\w$]*)(?:\s*:\s*[^=]+)?\s*=\s*(?:'((?:[^'\\]|\\.)*)'|\"((?:[^\"\\]|\\.)*)\"|`((?:[^`\\]|\\.)*)`)", re.M | re.A)
+_UNION = re.compile(r"(?:type\s+([A-Za-z_$][\w$]*)\s*=|([A-Za-z_$][\w$]*)\s*\??\s*:)\s*((?:'[^']+'|\"[^\"]+\")(?:\s*\|\s*(?:'[^']+'|\"[^\"]+\")){2,})", re.A)
+_MEMBER = re.compile(r"'([^']+)'|\"([^\"]+)\"")
+_DECLARED, _MORE, _NEXT = (re.compile(p, re.A) for p in (DECLARED, DECLARED_MORE, NEXT_NAME))
 _GO_FUNC = re.compile(r"^func[ \t]+([a-z]\w*)[ \t]*(?:\[(?:[^\[\]]|\[[^\[\]]*\])*\])?\(", re.M | re.A)
 
 
@@ -45,3 +53,24 @@ def arity_at(text: str | None) -> list[tuple[str, int | None]]:
         parts, closed = _parts(text, m.end(), "([{", ")]}", ",")
         out.append((m.group(1), None if not closed else len(parts) if any(p.strip() for p in parts) else 0))
     return out
+
+
+def exported(text: str | None) -> list[tuple[str]]:
+    """Exported names, those of one-line declarations of several included."""
+    text = text or ""
+    return [(m.group(1),) for m in _DECLARED.finditer(text)] + [(n,) for m in _MORE.finditer(text) for n in _NEXT.findall(m.group(1))]
+
+
+def constants(text: str | None) -> list[tuple[str, str]]:
+    """(name, value) of constants bound to a string literal."""
+    out = []
+    for m in _CONSTANT.finditer(text or ""):
+        value = next((g for g in m.groups()[1:] if g is not None), "")
+        if m.group(4) is None or "${" not in value:
+            out.append((m.group(1), value))
+    return out
+
+
+def unions(text: str | None) -> list[tuple[str, list[str]]]:
+    """(label, members) of unions of three or more string members."""
+    return [(m.group(1) or m.group(2), [a or b for a, b in _MEMBER.findall(m.group(3))]) for m in _UNION.finditer(text or "")]

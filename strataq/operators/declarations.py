@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataq import dims
-from strataq.frontend.scriptfacts import arity_at, record_shapes
+from strataq.frontend.scriptfacts import arity_at, constants, exported, record_shapes, unions
 
-#: FIXED VALUES: what declarations look like, in Java's syntax.
-DECLARED = r"(?m)^[ \t]*export[ \t]+(?:async[ \t]+)?(?:function|const|let|class|interface|type|enum)[ \t]+([A-Za-z_$][\w$]*)"
-DECLARED_MORE = r"(?m)^[ \t]*export[ \t]+(?:const|let)[ \t]+[A-Za-z_$][\w$]*[ \t]*=[^,;(\[{\n]*((?:,[ \t]*[A-Za-z_$][\w$]*[ \t]*=[^,;(\[{\n]*)+)$"
-NEXT_NAME = r",[ \t]*([A-Za-z_$][\w$]*)[ \t]*="
-CONST_STRING = r"(?m)^[ \t]*(?:export[ \t]+)?const[ \t]+[A-Za-z_$][\w$]*(?:\s*:\s*[^=]+)?\s*=\s*(?:'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`(?:[^`\\]|\\.)*`)"
-CONST_PARTS = r"(?s)const[ \t]+([A-Za-z_$][\w$]*)(?:\s*:\s*[^=]+)?\s*=\s*(['\"`])(.*)\2$"
-UNION = r"(?:type\s+[A-Za-z_$][\w$]*\s*=|[A-Za-z_$][\w$]*\s*\??\s*:)\s*(?:'[^']+'|\"[^\"]+\")(?:\s*\|\s*(?:'[^']+'|\"[^\"]+\")){2,}"
-UNION_LABEL = r"^(?:type\s+)?([A-Za-z_$][\w$]*)"
-MEMBER = r"'[^']+'|\"[^\"]+\""
-GO_FUNC = r"(?m)^func[ \t]+([a-z]\w*)[ \t]*(?:\[(?:[^\[\]]|\[[^\[\]]*\])*\])?\("
+
+def _extracted(files: DataFrame, read: Callable[[str], list[tuple]], columns: list[str], schema: str) -> DataFrame:
+    """(file, columns) of what `read` finds in each text. Texts are scanned by Python's engine: it has no depth that a
+    string of a megabyte could exceed, as the JVM's has."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = pd.DataFrame([(f, *x) for f, t in zip(b["rel"], b["text"]) for x in read(t)], columns=["file", *columns])
+            yield rows.astype({"arity": "Int64"}) if "arity" in columns else rows
+
+    return files.select("rel", "text").mapInPandas(run, f"file string, {schema}")
 
 
 def _site(file: Column, name: Column) -> Column:
@@ -29,8 +30,7 @@ def _site(file: Column, name: Column) -> Column:
 
 def exported_names(files: DataFrame) -> DataFrame:
     """(name, file) of exports; the further names of a one-line declaration count too."""
-    more = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(DECLARED_MORE), F.lit(1)), lambda x: F.regexp_extract_all(x, F.lit(NEXT_NAME), F.lit(1))))
-    return files.select(F.col("rel").alias("file"), F.explode(F.concat(F.regexp_extract_all("text", F.lit(DECLARED), F.lit(1)), more)).alias("name")).distinct()
+    return _extracted(files, exported, ["name"], "name string").distinct()
 
 
 def duplicate_exports(files: DataFrame) -> DataFrame:
@@ -39,11 +39,8 @@ def duplicate_exports(files: DataFrame) -> DataFrame:
 
 
 def string_constants(files: DataFrame) -> DataFrame:
-    """(value, file, name) of constants bound to a string of four characters or more; a template with a substitution is none."""
-    hit = files.select(F.col("rel").alias("file"), F.explode(F.regexp_extract_all("text", F.lit(CONST_STRING), F.lit(0))).alias("hit"))
-    part = lambda k: F.regexp_extract("hit", CONST_PARTS, k)
-    rows = hit.select("file", part(1).alias("name"), part(2).alias("quote"), part(3).alias("value"))
-    return rows.where((F.length("value") >= dims.MIN_VALUE_LENGTH) & ~((F.col("quote") == "`") & F.col("value").contains("${"))).select("value", "file", "name")
+    """(file, name, value) of constants bound to a string of four characters or more; a template with a substitution is none."""
+    return _extracted(files, constants, ["name", "value"], "name string, value string").where(F.length("value") >= dims.MIN_VALUE_LENGTH)
 
 
 def duplicate_values(files: DataFrame) -> DataFrame:
@@ -54,9 +51,7 @@ def duplicate_values(files: DataFrame) -> DataFrame:
 
 def union_sites(files: DataFrame) -> DataFrame:
     """(file, label, members): unions of three or more string members, members sorted."""
-    hit = files.select(F.col("rel").alias("file"), F.explode(F.regexp_extract_all("text", F.lit(UNION), F.lit(0))).alias("hit"))
-    members = F.transform(F.regexp_extract_all(F.regexp_replace("hit", r"^[^'\"]*", ""), F.lit(MEMBER), F.lit(0)), lambda m: F.substring(m, F.lit(2), F.length(m) - 2))
-    return hit.select("file", F.regexp_extract("hit", UNION_LABEL, 1).alias("label"), F.array_sort(members).alias("members"))
+    return _extracted(files, unions, ["label", "members"], "label string, members array<string>").withColumn("members", F.array_sort("members"))
 
 
 def duplicate_unions(files: DataFrame) -> DataFrame:
@@ -90,12 +85,7 @@ def union_subsets(files: DataFrame) -> DataFrame:
 
 def record_sites(files: DataFrame) -> DataFrame:
     """(file, name, fields) of interfaces and object types with four fields or more."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([(f, n, x) for f, t in zip(b["rel"], b["text"]) for n, x in record_shapes(t) if len(x) >= dims.MIN_FIELDS], columns=["file", "name", "fields"])
-
-    return files.select("rel", "text").where(F.col("text").rlike(r"interface|type\s")).mapInPandas(run, "file string, name string, fields array<string>")
+    return _extracted(files, record_shapes, ["name", "fields"], "name string, fields array<string>").where(F.size("fields") >= dims.MIN_FIELDS)
 
 
 def duplicate_shapes(files: DataFrame) -> DataFrame:
@@ -106,13 +96,7 @@ def duplicate_shapes(files: DataFrame) -> DataFrame:
 
 def go_helpers(files: DataFrame) -> DataFrame:
     """(name, file, package, arity) of unexported top-level functions; the arity of a list that never closes is null."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(f, n, a) for f, t in zip(b["rel"], b["text"]) for n, a in arity_at(t)]
-            yield pd.DataFrame(rows, columns=["file", "name", "arity"]).astype({"arity": "Int64"})
-
-    heads = files.where(F.col("rel").endswith(".go") & F.col("text").rlike(GO_FUNC)).select("rel", "text").mapInPandas(run, "file string, name string, arity int")
+    heads = _extracted(files.where(F.col("rel").endswith(".go")), arity_at, ["name", "arity"], "name string, arity int")
     # a file at the root has no directory; its name less the last letter stands for one, so each is on its own
     package = F.when(F.col("file").contains("/"), F.regexp_replace("file", r"/[^/]*$", "")).otherwise(F.expr("left(file, length(file) - 1)"))
     return heads.select("name", "file", package.alias("package"), "arity")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strataq import dims
 from strataq.common import table
+from strataq.frontend.scriptfacts import DECLARED, DECLARED_MORE, NEXT_NAME
 from strataq.operators import changes, coupling, duplication, graph, profile, review, rules
 from strataq.operators import declarations as decl
 from strataq.operators.facts import fact, parse_go
@@ -147,5 +148,5 @@ WITH l AS (SELECT file_id, list_transform(string_split(coalesce(body, ''), chr(1
 c AS (SELECT file_id, ls, list_position(list_transform(ls, lambda x: NOT (regexp_replace(x, '^[ \\t]+|[ \\t]+$', '', 'g') = '' OR regexp_matches(x, '^[ \\t]*(//|/\\*)'))), true) AS p FROM l)
 SELECT file_id, len(list_filter(CASE WHEN p > 0 THEN list_slice(ls, 1, p - 1) ELSE ls END, lambda x: regexp_matches(x, '^// Code generated .* DO NOT EDIT\\.$'))) > 0 AS marked FROM c""",
     "scanned_files": f"WITH {_FILES_SQL} SELECT module, rel, CASE WHEN contains(rel, '/') THEN regexp_replace(rel, '/[^/]*$', '') ELSE '.' END AS dir FROM f WHERE ends_with(rel, '.go') AND NOT ends_with(rel, '_test.go') AND NOT regexp_matches(rel, '(^|/)\\.[^/]*/') AND NOT regexp_matches(rel, '^({'|'.join(d.replace('.', chr(92) + '.') for d in dims.EXCLUDE_DIRS)})(/|$)')",
-    "duplicate_exports": f"WITH {_SCRIPTS_SQL}, x AS (SELECT DISTINCT rel, unnest(list_concat(regexp_extract_all(text, '{decl.DECLARED}', 1), flatten(list_transform(regexp_extract_all(text, '{decl.DECLARED_MORE}', 1), lambda y: regexp_extract_all(y, '{decl.NEXT_NAME}', 1))))) AS name FROM s) SELECT name, list_sort(list(rel)) AS files FROM x GROUP BY name HAVING count(*) > 1",
+    "duplicate_exports": f"WITH {_SCRIPTS_SQL}, x AS (SELECT DISTINCT rel, unnest(list_concat(regexp_extract_all(text, '{DECLARED}', 1), flatten(list_transform(regexp_extract_all(text, '{DECLARED_MORE}', 1), lambda y: regexp_extract_all(y, '{NEXT_NAME}', 1))))) AS name FROM s) SELECT name, list_sort(list(rel)) AS files FROM x GROUP BY name HAVING count(*) > 1",
 }

@@ -24,6 +24,11 @@ def test_values(spark):
     assert d.duplicate_values(twice).count() == 0
 
 
+def test_a_very_long_text(spark):
+    df = files(spark, a_ts="export const A = '" + "\\\\x" * 200_000 + "'\ntype U = " + " | ".join(f"'m{i}'" for i in range(20_000)) + "\nexport const B = 1" + ", c = 2" * 20_000 + "\n")
+    assert d.string_constants(df).count() == 1 and d.union_sites(df).count() == 1 and d.exported_names(df).count() == 3
+
+
 def test_unions_and_subsets(spark):
     df = files(spark, a_ts="type Tone = 'a' | 'b' | 'c'\nprop?: 'c' | 'b' | 'a'\n", b_ts='type Tone = "a" | "b" | "c" | "d"\ntype Two = "a" | "b"\n')
     assert [r["members"] for r in d.duplicate_unions(df).collect()] == [["a", "b", "c"]]
