@@ -53,6 +53,18 @@ def _drop_stashed() -> None:
             return
 
 
+def tasks(spark: SparkSession) -> int:
+    """Partitions for work that costs more than its bytes tell: never fewer than the cluster runs at once."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan, dealt out where its files give fewer partitions than the cluster runs at once; else as it is."""
+    spark = scan.sparkSession
+    least = spark.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= least else scan.repartition(least)
+
+
 def salted_rank(df: DataFrame, group: list[str], seed: int, unique: list[str], out: str, salts: int) -> DataFrame:
     """A gapless 1-based rank within each group, in a seeded order, without one task per group.
 

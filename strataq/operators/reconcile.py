@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataq.common import stash
+from strataq.common import stash, tasks
 from strataq.functions.modular import P, mulmod, rational, roots, segment_products, value  # noqa: F401
 
 HASH_BITS = 60
@@ -112,8 +112,7 @@ def solve(parts: DataFrame, degree: int) -> DataFrame:
         yield pd.DataFrame(out, columns=["bucket", "side", "hash"])
 
     # sketches are small but costly to solve: a fixed number of partitions is not coalesced by size
-    tasks = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts.sparkSession.sparkContext.defaultParallelism)
-    return parts.repartition(tasks, "bucket").mapInPandas(run, "bucket long, side int, hash long")
+    return parts.repartition(tasks(parts.sparkSession), "bucket").mapInPandas(run, "bucket long, side int, hash long")
 
 
 def differing_hashes(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataq import dims
+from strataq.common import tasks
 from strataq.functions.text import any_of
 
 
@@ -41,6 +42,7 @@ def delivered(files: DataFrame) -> DataFrame:
     module = F.coalesce(F.translate("module_path", "\\", "/"), F.lit(""))
     rel = F.when((module != "") & name.startswith(F.concat(module, F.lit("/"))), F.substring(name, F.length(module) + 2, F.length(name))).otherwise(name)
     rows = files.select("file_id", module.alias("module"), rel.alias("rel"), "code_language", "body", "scanned_at")
+    rows = rows.repartition(tasks(files.sparkSession), "module", "rel")  # serves the window and keeps parsing spread
     last = Window.partitionBy("module", "rel").orderBy(F.col("scanned_at").desc_nulls_last(), F.col("file_id").desc())
     once = rows.withColumn("_r", F.row_number().over(last)).where("_r = 1")
     return once.select("file_id", "module", "rel", directory(F.col("rel")).alias("dir"), "code_language", "body")
