@@ -27,6 +27,8 @@ SOUND = len(NAMES)  # the class of sound words
 STRICT = [all(right == "utf-8" and wrong != "ascii" for right, wrong in CHAINS[n]) for n in NAMES]
 #: Log odds a word needs for its chain, where bytes had to decode as UTF-8 (unlikely by chance) and elsewhere, and a whole text needs in the latter case.
 ODDS_STRICT, ODDS_WORD, ODDS_TEXT = -1.0, 2.0, 9.0
+#: A word that could be written as it stands needs far more: its own odds, a gain per bigram, and this many such words with these odds in a text.
+ODDS_NATURAL, GAIN_NATURAL, WORDS_NATURAL, ODDS_TEXT_NATURAL = 8.0, 2.0, 3, 40.0
 _SPLIT = re.compile(r"[ \t\r\n\f\v]+")
 _INLINE = re.compile(r"`[^`\n]*`")
 #: Signs that may stand between letters of a sound word.
@@ -136,12 +138,14 @@ class Judge:
             return NAMES[k], 99.0, None
         here, odd = s[SOUND] / max(n, 1), unnatural(word)
         for k in sorted(np.argsort(-odds[:SOUND])[:10], key=lambda k: (not STRICT[k], -odds[k])):
-            if odds[k] < ODDS_STRICT or not STRICT[k] and (not odd or odds[k] < ODDS_WORD):
-                continue
+            if odds[k] < (ODDS_STRICT if STRICT[k] else ODDS_WORD if odd else ODDS_NATURAL) or not STRICT[k] and not odd and word.isupper():
+                continue  # capitals read as another alphabet's small letters prove nothing
             back = restore(word, CHAINS[NAMES[k]])
             if back is None or back == word or any(ord(c) < 32 or 127 <= ord(c) < 160 for c in back) or not STRICT[k] and unnatural(back):
                 continue
             t, m = self.score(back)
+            if not STRICT[k] and not odd and (not m or t[SOUND] / m < here + GAIN_NATURAL):
+                continue
             if m and t[SOUND] / m < here + 0.5:
                 deeper = self._word(back) if len(back) < len(word) else None
                 if deeper is None or deeper[2] is None:
@@ -150,35 +154,57 @@ class Judge:
             return NAMES[k], float(odds[k]), back
         return None
 
-    def text(self, text: str | None) -> tuple[str, float] | None:
-        """(chain, log odds) of a damaged text, else None. Null, empty and ASCII texts are sound."""
+    def evidence(self, text: str | None) -> tuple[str, float, bool] | None:
+        """(chain, log odds, whether words that look natural count) of a damaged text, else None. Null, empty and ASCII texts are sound."""
         if not text or text.isascii():
             return None
         odds: Counter[str] = Counter()
-        sure = False
+        plain: dict[str, float] = {}
+        sure, marked = False, 0.0
         for w in high_words(unquoted(text)):
             got = self.word(w)
-            if got is not None:
-                odds[got[0]] += got[1]
-                sure = sure or got[2] is None or STRICT[NAMES.index(got[0])]
-        if not odds:
+            if got is None:
+                continue
+            odds[got[0]] += got[1]
+            if got[2] is None or STRICT[NAMES.index(got[0])]:
+                sure = True
+            elif unnatural(w):
+                marked += got[1]
+            else:
+                plain[w] = got[1]
+        many = len(plain) >= WORDS_NATURAL and sum(plain.values()) >= ODDS_TEXT_NATURAL
+        if not (sure or marked >= ODDS_TEXT or many):
             return None
         chain, best = odds.most_common(1)[0]
-        return (chain, float(best)) if sure or best >= ODDS_TEXT else None
+        return chain, float(best), many
+
+    def text(self, text: str | None) -> tuple[str, float] | None:
+        got = self.evidence(text)
+        return got and got[:2]
+
+    def _mended(self, word: str, plain: bool) -> str | None:
+        """The word restored, or None where it is sound or beyond help."""
+        got = None if word.isascii() else self.word(word)
+        if got is None or not plain and not unnatural(word) and not STRICT[NAMES.index(got[0])]:
+            return None
+        return got[2]
 
-    def restored(self, text: str, chain: str) -> str:
+    def restored(self, text: str) -> str:
         """The text with every line or, where a line is only damaged in part, every word inverted."""
+        found = self.evidence(text)
+        if found is None:
+            return text
+        chain, _, plain = found
         out = []
         for line in text.split("\n"):
             for _ in range(3):
-                if line.isascii() or all(self.word(w) is None for w in high_words(line)):
+                if all(self._mended(w, plain) is None for w in high_words(line)):
                     break
                 whole = restore(line, CHAINS[chain]) if "�" not in line else None
-                if whole is not None and all(self.word(w) is None for w in high_words(unquoted(whole))):
+                if whole is not None and all(self._mended(w, plain) is None for w in high_words(unquoted(whole))):
                     line = whole
                     break
-                parts = re.split(r"([ \t\r\n\f\v]+)", line)
-                fixed = "".join((self.word(w) or ("", 0, None))[2] or w for w in parts)
+                fixed = "".join(self._mended(w, plain) or w for w in re.split(r"([ \t\r\n\f\v]+)", line))
                 if fixed == line:
                     break
                 line = fixed
@@ -206,7 +232,7 @@ def find_garbled(documents: DataFrame, with_text: bool = False) -> DataFrame:
                 if got is None:
                     continue
                 if with_text:
-                    back = judge.restored(text, got[0])
+                    back = judge.restored(text)
                     rows.append((i, *got, back, judge.text(back) is None))
                 else:
                     rows.append((i, *got))
