@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from strataq.common import salted_rank, stash
+from strataq.common import salted_rank, spread, stash
 from strataq.llm.sizes import TOKENIZER, token_count
 
 #: Plan rows up to which the plan is broadcast (about 40 bytes a row); beyond it the join shuffles.
@@ -109,7 +109,7 @@ def fill_containers(documents: DataFrame, kinds: DataFrame, tokenizer: str = TOK
     capacity = {r["container_kind"]: r["capacity_tokens"] for r in few}
     if not capacity:
         return spark.createDataFrame([], _FILLED)
-    sized = stash(documents.select("doc_id", token_count(F.col("text"), tokenizer).alias("n_tokens")), "sized")
+    sized = stash(spread(documents.select("doc_id", "text")).select("doc_id", token_count(F.col("text"), tokenizer).alias("n_tokens")), "sized")
     items = items_of(sized, capacity)
     # at most one row per kind and length up to the capacity
     histogram: dict[str, dict[int, int]] = {}

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.common import stash
+from strataq.common import spread, stash
 from strataq.llm.encodings import CHAINS, NAMES, garble, restore
 
 BUCKETS = 1 << 14
@@ -238,4 +238,4 @@ def find_garbled(documents: DataFrame, with_text: bool = False) -> DataFrame:
                     rows.append((i, *got))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return documents.select("doc_id", "text").where(F.col("text").rlike(r"[^\x00-\x7F]")).mapInPandas(run, schema)
+    return spread(documents.select("doc_id", "text").where(F.col("text").rlike(r"[^\x00-\x7F]"))).mapInPandas(run, schema)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataq.common import salted_rank, stash
+from strataq.common import salted_rank, spread, stash
 from strataq.llm.sizes import TOKENIZER, token_count
 
 #: Tokens up to which the last part of a budget is closed by dynamic programming.
@@ -72,6 +72,7 @@ def fit_budget(counts: dict[int, int], budget: int) -> dict[int, int]:
 def sized_texts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, n_tokens), one row per source and different text (the least id of its copies): a text
     delivered under several ids is one text, so that the cap on repeats holds for it."""
+    documents = spread(documents.select("doc_id", "source", "text"))
     distinct = (
         documents.where(F.col("source").isNotNull() & (F.length("text") > 0))
         .groupBy("source", F.sha2("text", 256).alias("_same"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from strataq.common import spread
 from strataq.llm.lexing import lex
 
 TOKENS = "file_id long, go boolean, line int, last_line int, pos int, stop int, kind string, text string"
@@ -32,7 +33,7 @@ def tokens(files: DataFrame) -> DataFrame:
                 rows += [(i, go, *t) for t in lex(body, name, lang)]
             yield pd.DataFrame(rows, columns=["file_id", "go", "line", "last_line", "pos", "stop", "kind", "text"])
 
-    return files.select("file_id", "file_name", "code_language", "body").where(F.length("body") > 0).mapInPandas(run, TOKENS)
+    return spread(files.select("file_id", "file_name", "code_language", "body").where(F.length("body") > 0)).mapInPandas(run, TOKENS)
 
 
 def _with_depth(rows: DataFrame) -> DataFrame:
