@@ -23,46 +23,41 @@ def tail_label(threshold: int, inclusive: bool) -> str:
     return f"{'>=' if inclusive else '>'} {threshold}"
 
 
-def _stacked(units: DataFrame, group: str, properties: dict) -> DataFrame:
-    """(group, property, value, loc), one row per unit and property; units without lines weigh nothing and nulls are not measured."""
-    cols = F.array(*[F.struct(F.lit(p).alias("property"), F.col(c).cast("long").alias("value")) for p, (c, _, _) in properties.items()])
-    return units.where(F.col("loc").isNotNull()).select(group, F.col("loc").cast("long").alias("loc"), F.explode(cols).alias("m")).select(group, "m.property", "m.value", "loc")
-
-
 def _rolled(rows: DataFrame, group: str, keys: list[str], *sums: Column) -> DataFrame:
     """Per group and over all groups (labelled combined), in one pass over the group sums."""
     return rows.withColumn(group, F.explode(F.array(F.col(group), F.lit(COMBINED)))).groupBy(group, *keys).agg(*sums)
 
 
+def _summed(units: DataFrame, group: str, conditions: list[Column]) -> tuple[DataFrame, list[tuple[Column, Column]]]:
+    """Group sums of units and lines for every condition, from one reading of the units without multiplying a row;
+    and, per condition, the columns of its two sums. Units without lines weigh nothing."""
+    loc = F.col("loc").cast("long")
+    aggs, names = [F.sum(loc).alias("total")], ["total"]
+    for i, c in enumerate(conditions):
+        aggs += [F.count_if(c).alias(f"_n{i}"), F.sum(F.when(c, loc).otherwise(0)).alias(f"_l{i}")]
+        names += [f"_n{i}", f"_l{i}"]
+    per = units.where(F.col("loc").isNotNull()).groupBy(group).agg(*aggs)
+    rolled = _rolled(per, group, [], *[F.sum(n).alias(n) for n in names]).where("total > 0")
+    return rolled, [(F.col(f"_n{i}"), F.col(f"_l{i}")) for i in range(len(conditions))]
+
+
 def category_shares(units: DataFrame, group: str, properties: dict = dims.UNIT_PROPERTIES) -> DataFrame:
     """(group, property, category, elements, loc, pct), with the roll-up over all groups. Every category of a measured group has a row."""
-    rows = _stacked(units, group, properties)
-    category = F.lit(None).cast("string")
-    for p, (_, bands, _) in properties.items():
-        category = F.when(F.col("property") == p, category_of(F.col("value"), bands)).otherwise(category)
-    per = rows.groupBy(group, "property", category.alias("category")).agg(F.count("value").alias("elements"), F.sum("loc").alias("loc"))
-    rolled = _rolled(per, group, ["property", "category"], F.sum("elements").alias("elements"), F.sum("loc").alias("loc"))
-    totals = rolled.groupBy(group, "property").agg(F.sum("loc").alias("total"))
-    names = F.lit(None).cast("array<string>")
-    for p, (_, bands, _) in properties.items():
-        names = F.when(F.col("property") == p, F.array(*[F.lit(b[0]) for b in bands])).otherwise(names)
-    frame = totals.where("total > 0").withColumn("category", F.explode(names))
-    return frame.join(rolled, [group, "property", "category"], "left").fillna(0, ["elements", "loc"]).select(group, "property", "category", "elements", "loc", share(F.col("loc"), F.col("total")).alias("pct"))
+    labels = [(p, name, c, low, high) for p, (c, bands, _) in properties.items() for name, low, high in bands]
+    sums, columns = _summed(units, group, [F.coalesce(F.col(c).between(low, high), F.lit(False)) for _, _, c, low, high in labels])
+    rows = F.array(*[F.struct(F.lit(p).alias("property"), F.lit(name).alias("category"), n.alias("elements"), loc.alias("loc")) for (p, name, *_), (n, loc) in zip(labels, columns)])
+    return sums.select(group, "total", F.inline(rows)).select(group, "property", "category", "elements", "loc", share(F.col("loc"), F.col("total")).alias("pct"))
 
 
 def tail_shares(units: DataFrame, group: str, properties: dict = dims.UNIT_PROPERTIES) -> DataFrame:
     """(group, property, tail, cap_pct, elements, loc, total, pct, pass, at_cap, excess_loc), roll-up included. Tails nest: a value counts in every tail it exceeds."""
-    rows = _stacked(units, group, properties)
-    tails = F.lit(None).cast("array<struct<tail:string,threshold:int,inclusive:boolean,cap_pct:double>>")
-    for p, (_, _, ts) in properties.items():
-        row = F.array(*[F.struct(F.lit(tail_label(t, i)).alias("tail"), F.lit(t).alias("threshold"), F.lit(i).alias("inclusive"), F.lit(c).alias("cap_pct")) for t, i, c in ts])
-        tails = F.when(F.col("property") == p, row).otherwise(tails)
-    held = F.when(F.col("inclusive"), F.col("value") >= F.col("threshold")).otherwise(F.col("value") > F.col("threshold"))
-    per = rows.select("*", F.inline(tails)).groupBy(group, "property", "tail", "cap_pct").agg(F.count_if(held).alias("elements"), F.sum(F.when(held, F.col("loc")).otherwise(0)).alias("loc"), F.sum("loc").alias("total"))
-    rolled = _rolled(per, group, ["property", "tail", "cap_pct"], *[F.sum(c).alias(c) for c in ("elements", "loc", "total")]).where("total > 0")
+    labels = [(p, tail_label(t, inclusive), cap, F.col(c) >= t if inclusive else F.col(c) > t) for p, (c, _, tails) in properties.items() for t, inclusive, cap in tails]
+    sums, columns = _summed(units, group, [F.coalesce(held, F.lit(False)) for *_, held in labels])
+    rows = F.array(*[F.struct(F.lit(p).alias("property"), F.lit(tail).alias("tail"), F.lit(cap).alias("cap_pct"), n.alias("elements"), loc.alias("loc")) for (p, tail, cap, _), (n, loc) in zip(labels, columns)])
+    stacked = sums.select(group, "total", F.inline(rows))
     pct = share(F.col("loc"), F.col("total"))
     excess = F.ceil(F.col("loc") - F.col("cap_pct") / 100 * F.col("total"))
-    return rolled.select(group, "property", "tail", "cap_pct", "elements", "loc", "total", pct.alias("pct"), (pct <= F.col("cap_pct")).alias("pass"), (F.abs(pct - F.col("cap_pct")) <= dims.AT_CAP_MARGIN).alias("at_cap"), F.when(pct <= F.col("cap_pct"), F.lit(0).cast("long")).otherwise(excess).alias("excess_loc"))
+    return stacked.select(group, "property", "tail", "cap_pct", "elements", "loc", "total", pct.alias("pct"), (pct <= F.col("cap_pct")).alias("pass"), (F.abs(pct - F.col("cap_pct")) <= dims.AT_CAP_MARGIN).alias("at_cap"), F.when(pct <= F.col("cap_pct"), F.lit(0).cast("long")).otherwise(excess).alias("excess_loc"))
 
 
 def language_totals(units: DataFrame, group: str, non_unit: DataFrame | None = None) -> DataFrame:

@@ -13,8 +13,12 @@ from strataq.operators.inventories import KEY, number_text
 from strataq.operators.inventories import normal_path as clean_path
 from strataq.operators.percentiles import count_once
 
-FUNCS = ["scan_day", "module_path", "file_name", "element_name", "line_no", "tokens", "params", "complexity", "loc", "mccabe", "has_body"]
-DEPS = ["scan_day", "module_path", "file_name", "volume", "volume_local", "volume_cross", "span", "targets"]
+#: The columns each use keeps; a measurement counts once, and nothing else of it is read or moved.
+RATED = ["module_path", "file_name", "element_name", "line_no", "tokens", "params", "complexity"]
+SIZED = ["module_path", "loc", "mccabe", "params", "has_body"]
+RATED_DEPS = ["module_path", "file_name", "volume", "span"]
+LINKED = ["file_name", "targets", "scan_day"]
+WEIGHED = ["file_name", "volume"]
 
 
 def _six(df: DataFrame) -> DataFrame:
@@ -22,12 +26,12 @@ def _six(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def functions(spark: SparkSession, d: str) -> DataFrame:
-    return count_once(table(spark, d, "func_metrics"), "metric_id", "received_at", FUNCS)
+def functions(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
+    return count_once(table(spark, d, "func_metrics"), "metric_id", "received_at", columns)
 
 
-def dependencies(spark: SparkSession, d: str) -> DataFrame:
-    return count_once(table(spark, d, "file_deps"), "dep_id", "received_at", DEPS)
+def dependencies(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
+    return count_once(table(spark, d, "file_deps"), "dep_id", "received_at", columns)
 
 
 def _once_sql(name: str, key: str, columns: list[str]) -> str:
@@ -35,8 +39,8 @@ def _once_sql(name: str, key: str, columns: list[str]) -> str:
     return f"(SELECT {', '.join(columns)} FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY received_at DESC, {order}) AS rr FROM {name}) WHERE rr = 1 OR {key} IS NULL)"
 
 
-F_SQL = _once_sql("func_metrics", "metric_id", FUNCS)
-D_SQL = _once_sql("file_deps", "dep_id", DEPS)
+RATED_SQL, SIZED_SQL = (_once_sql("func_metrics", "metric_id", c) for c in (RATED, SIZED))
+RATED_DEPS_SQL, LINKED_SQL, WEIGHED_SQL = (_once_sql("file_deps", "dep_id", c) for c in (RATED_DEPS, LINKED, WEIGHED))
 
 # --- banded rules over measured functions and files
 
@@ -45,8 +49,8 @@ _RATED_DEPS = [("DEPENDENCY_VOLUME_RISK", "volume", "dependency volume"), ("DEPE
 
 
 def rated(spark: SparkSession, d: str) -> DataFrame:
-    funcs = functions(spark, d).select(F.col("module_path").alias("module"), F.col("element_name").alias("element"), F.col("file_name").alias("file"), F.col("line_no").alias("line"), "tokens", "params", "complexity")
-    deps = dependencies(spark, d).select(F.col("module_path").alias("module"), F.element_at(F.split("file_name", "/"), -1).alias("element"), F.col("file_name").alias("file"), F.lit(1).alias("line"), "volume", "span")
+    funcs = functions(spark, d, RATED).select(F.col("module_path").alias("module"), F.col("element_name").alias("element"), F.col("file_name").alias("file"), F.col("line_no").alias("line"), "tokens", "params", "complexity")
+    deps = dependencies(spark, d, RATED_DEPS).select(F.col("module_path").alias("module"), F.element_at(F.split("file_name", "/"), -1).alias("element"), F.col("file_name").alias("file"), F.lit(1).alias("line"), "volume", "span")
     parts = [rules.banded(funcs, r, c, u, dims.BANDS[r]) for r, c, u in _RATED] + [rules.banded(deps, r, c, u, dims.BANDS[r]) for r, c, u in _RATED_DEPS]
     out = parts[0]
     for p in parts[1:]:
@@ -63,7 +67,7 @@ def _rated_sql() -> str:
             f"file_name AS file, {line} AS line, CASE WHEN {c} > {very} THEN 'very high risk' ELSE 'high risk' END AS severity, {c} AS value FROM {source} WHERE {column} > {high}"
         )
 
-    parts = [one(r, c, u, F_SQL, "element_name", "line_no") for r, c, u in _RATED] + [one(r, c, u, D_SQL, "regexp_extract(file_name, '[^/]*$')", "1") for r, c, u in _RATED_DEPS]
+    parts = [one(r, c, u, RATED_SQL, "element_name", "line_no") for r, c, u in _RATED] + [one(r, c, u, RATED_DEPS_SQL, "regexp_extract(file_name, '[^/]*$')", "1") for r, c, u in _RATED_DEPS]
     return " UNION ALL ".join(parts)
 
 
@@ -93,10 +97,10 @@ _ORDER_SQL = "value DESC, file, line, element, module NULLS FIRST"
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:
-    return functions(spark, d).where("module_path IS NOT NULL AND has_body").select("module_path", "loc", "mccabe", "params")
+    return functions(spark, d, SIZED).where("module_path IS NOT NULL AND has_body").select("module_path", "loc", "mccabe", "params")
 
 
-_UNITS_SQL = f"(SELECT module_path, CAST(loc AS BIGINT) AS loc, CAST(mccabe AS BIGINT) AS mccabe, CAST(params AS BIGINT) AS params FROM {F_SQL} WHERE module_path IS NOT NULL AND has_body AND loc IS NOT NULL)"
+_UNITS_SQL = f"(SELECT module_path, CAST(loc AS BIGINT) AS loc, CAST(mccabe AS BIGINT) AS mccabe, CAST(params AS BIGINT) AS params FROM {SIZED_SQL} WHERE module_path IS NOT NULL AND has_body AND loc IS NOT NULL)"
 _ROLLED_SQL = f"(SELECT module_path, loc, mccabe, params FROM {_UNITS_SQL} UNION ALL SELECT 'combined', loc, mccabe, params FROM {_UNITS_SQL})"
 
 
@@ -230,7 +234,7 @@ _SIDES_SQL = f"WITH a AS {_inventory_sql('units')}, b AS {_inventory_sql('units_
 
 def _targets(spark: SparkSession, d: str) -> DataFrame:
     """(source, target, refs) of the dependency history, every file once per target and day."""
-    return dependencies(spark, d).where("targets IS NOT NULL").select(F.col("file_name").alias("source"), F.explode("targets").alias("target"), F.lit(1).cast("long").alias("refs"))
+    return dependencies(spark, d, LINKED).where("targets IS NOT NULL").select(F.col("file_name").alias("source"), F.explode("targets").alias("target"), F.lit(1).cast("long").alias("refs"))
 
 
 def _map(spark: SparkSession, d: str) -> DataFrame:
@@ -238,7 +242,7 @@ def _map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def longest_prefix_owner(spark: SparkSession, d: str) -> DataFrame:
-    files = dependencies(spark, d).select("file_name").distinct()
+    files = dependencies(spark, d, WEIGHED).select("file_name").distinct()
     return coupling.owners(files, "file_name", _map(spark, d))
 
 
@@ -258,7 +262,7 @@ def component_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _modules(spark: SparkSession, d: str) -> DataFrame:
-    files = dependencies(spark, d).groupBy(F.col("file_name").alias("file")).agg(F.coalesce(F.max("volume"), F.lit(0)).alias("loc"))
+    files = dependencies(spark, d, WEIGHED).groupBy(F.col("file_name").alias("file")).agg(F.coalesce(F.max("volume"), F.lit(0)).alias("loc"))
     return coupling.owners(coupling.measured_modules(files, "file", fan_in(spark, d), "target"), "file", _map(spark, d))
 
 
@@ -298,17 +302,17 @@ def scc_members(spark: SparkSession, d: str) -> DataFrame:
 
 
 _OWN_SQL = """
-e AS (SELECT DISTINCT file_name AS source, unnest(targets) AS target, scan_day FROM {d}),
+e AS (SELECT DISTINCT file_name AS source, unnest(targets) AS target, scan_day FROM {l}),
 m AS (SELECT component_name AS component, module_path AS path FROM modules WHERE component_name IS NOT NULL AND component_name <> ''),
-n AS (SELECT source AS f FROM e UNION SELECT target FROM e UNION SELECT file_name FROM {d}),
+n AS (SELECT source AS f FROM e UNION SELECT target FROM e UNION SELECT file_name FROM {w}),
 o AS (SELECT f, arg_max(component, length(path)) AS component FROM n JOIN m ON starts_with(f, path || '/') OR f = path GROUP BY f),
-x AS (SELECT t.source, t.target, a.component AS sc, b.component AS tc, count(*) AS refs FROM (SELECT file_name AS source, unnest(targets) AS target FROM {d}) t
+x AS (SELECT t.source, t.target, a.component AS sc, b.component AS tc, count(*) AS refs FROM (SELECT file_name AS source, unnest(targets) AS target FROM {l}) t
       LEFT JOIN o a ON t.source = a.f LEFT JOIN o b ON t.target = b.f WHERE t.source <> t.target GROUP BY ALL),
 fan AS (SELECT target, count(*) AS in_modules, CAST(sum(refs) AS BIGINT) AS in_refs, count(*) FILTER (WHERE sc IS DISTINCT FROM tc) AS in_cross_component FROM x GROUP BY target),
 ce AS (SELECT sc AS "from", tc AS "to", count(*) AS weight FROM x WHERE sc <> tc GROUP BY ALL),
 mods AS (SELECT g.file, CAST(g.loc AS BIGINT) AS loc, coalesce(fan.in_modules, 0) AS in_modules, coalesce(fan.in_cross_component, 0) AS in_cross_component, o.component
-         FROM (SELECT file_name AS file, coalesce(max(volume), 0) AS loc FROM {d} GROUP BY 1) g LEFT JOIN fan ON g.file = fan.target LEFT JOIN o ON g.file = o.f)
-""".replace("{d}", D_SQL)
+         FROM (SELECT file_name AS file, coalesce(max(volume), 0) AS loc FROM {w} GROUP BY 1) g LEFT JOIN fan ON g.file = fan.target LEFT JOIN o ON g.file = o.f)
+""".replace("{l}", LINKED_SQL).replace("{w}", WEIGHED_SQL)
 
 # --- coverage and review over events
 
@@ -446,7 +450,7 @@ SQL = {
     "delta_scores": _delta_scores_sql(),
     "agreement_stats": _SIDES_SQL + "SELECT measure, count(*) AS matched, count(*) FILTER (WHERE ours = theirs) AS equal, count(*) FILTER (WHERE ratio < 0.75 OR ratio > 1.33) AS outside, round(quantile_cont(ratio, 0.5), 6) AS median_ratio FROM p GROUP BY 1",
     "worst_divergence": _SIDES_SQL + "SELECT root_path, file_name, line_no, measure, ours, theirs, round(ratio, 6) AS ratio, round(CASE WHEN ratio = 0 THEN 'infinity'::DOUBLE ELSE abs(ln(ratio)) END, 6) AS distance FROM p WHERE ratio IS NOT NULL AND ratio <> 1 ORDER BY CASE WHEN ratio = 0 THEN 'infinity'::DOUBLE ELSE abs(ln(ratio)) END DESC, root_path, file_name, line_no, measure LIMIT 10",
-    "longest_prefix_owner": f"WITH {_OWN_SQL} SELECT DISTINCT d.file_name, o.component FROM {D_SQL} d LEFT JOIN o ON o.f = d.file_name",
+    "longest_prefix_owner": f"WITH {_OWN_SQL} SELECT DISTINCT d.file_name, o.component FROM {WEIGHED_SQL} d LEFT JOIN o ON o.f = d.file_name",
     "fan_in": f"WITH {_OWN_SQL} SELECT * FROM fan",
     "component_edges": f"WITH {_OWN_SQL} SELECT * FROM ce",
     "independence": f"WITH {_OWN_SQL}, t AS (SELECT CAST(coalesce(sum(CASE WHEN in_cross_component = 0 THEN loc ELSE 0 END), 0) AS BIGINT) AS h, CAST(sum(loc) AS BIGINT) AS t FROM mods) SELECT h AS hidden_loc, t AS total_loc, round(h / CAST(t AS DOUBLE) * 100, 6) AS pct, 93.7::DOUBLE AS floor_pct, h / CAST(t AS DOUBLE) * 100 >= 93.7 AS pass, CASE WHEN h / CAST(t AS DOUBLE) * 100 >= 93.7 THEN 0 ELSE CAST(floor(t * 93.7::DOUBLE / 100) AS BIGINT) - h END AS exposed_loc FROM t WHERE t > 0",

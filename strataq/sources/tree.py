@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq import dims
@@ -36,15 +36,17 @@ def delivered(files: DataFrame) -> DataFrame:
     """(file_id, module, rel, dir, code_language, body): each file of a module once, as last scanned.
 
     Separators are made one; a file below no module keeps its name. Null bodies
-    stay; of deliveries at one moment the one with the greatest id holds.
+    stay; of deliveries at one moment the one with the greatest id holds. Ids are unique.
     """
-    name = F.translate("file_name", "\\", "/")
+    name = F.coalesce(F.translate("file_name", "\\", "/"), F.lit(""))
     module = F.coalesce(F.translate("module_path", "\\", "/"), F.lit(""))
     rel = F.when((module != "") & name.startswith(F.concat(module, F.lit("/"))), F.substring(name, F.length(module) + 2, F.length(name))).otherwise(name)
     rows = files.select("file_id", module.alias("module"), rel.alias("rel"), "code_language", "body", "scanned_at")
-    rows = rows.repartition(tasks(files.sparkSession), "module", "rel")  # serves the window and keeps parsing spread
-    last = Window.partitionBy("module", "rel").orderBy(F.col("scanned_at").desc_nulls_last(), F.col("file_id").desc())
-    once = rows.withColumn("_r", F.row_number().over(last)).where("_r = 1")
+    # which delivery holds is settled without the texts, by maxima before the shuffle; the texts then move once, by a
+    # key that no file repeats, and lie spread for the parser
+    last = rows.groupBy("module", "rel").agg(F.max(F.struct("scanned_at", "file_id")).alias("_l")).select("module", "rel", F.col("_l.file_id").alias("file_id"))
+    keys = ["module", "rel", "file_id"]
+    once = rows.repartition(tasks(files.sparkSession), *keys).join(last, keys, "left_semi")
     return once.select("file_id", "module", "rel", directory(F.col("rel")).alias("dir"), "code_language", "body")
 
 
