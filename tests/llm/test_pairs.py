@@ -137,7 +137,7 @@ function last() {}
 
 
 def test_typescript(spark):
-    want = [(4, "add"), (13, "hello"), (18, "old"), (26, "one"), (33, "Store.constructor"), (35, "Store.all"), (37, "Store.put"), (60, "last")]
+    want = [(4, "add"), (13, "hello"), (18, "old"), (26, "one"), (33, "Store.constructor"), (35, "Store.all"), (37, "Store.put"), (61, "last")]
     assert found(spark, "x/a.ts", TS_FILE) == want
     assert found(spark, "x/a.ts", TS_FILE.replace("\n", "\r\n")) == want
 
