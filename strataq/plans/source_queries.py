@@ -30,6 +30,11 @@ def _scripts(spark: SparkSession, d: str) -> DataFrame:
     return tree.script_sources(_files(spark, d).withColumn("rel", F.concat_ws("/", "module", "rel")))
 
 
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    """The TypeScript side: Go texts have checks of their own."""
+    return _scripts(spark, d).where(~F.col("rel").endswith(".go"))
+
+
 def generated_marker(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_files").select("file_id", tree.is_generated(F.col("body")).alias("marked"))
 
@@ -91,23 +96,24 @@ def comment_only_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def duplicate_exports(spark: SparkSession, d: str) -> DataFrame:
-    return decl.duplicate_exports(_scripts(spark, d))
+    return decl.duplicate_exports(_typed(spark, d)).select("name", F.explode("files").alias("file"))
 
 
 def duplicate_values(spark: SparkSession, d: str) -> DataFrame:
-    return decl.duplicate_values(_scripts(spark, d))
+    return decl.duplicate_values(_typed(spark, d)).select("value", F.inline("sites"))
 
 
 def duplicate_unions(spark: SparkSession, d: str) -> DataFrame:
-    return decl.duplicate_unions(_scripts(spark, d))
+    return decl.duplicate_unions(_typed(spark, d)).select(F.array_join("members", "|").alias("members"), F.inline("sites"))
 
 
 def union_subsets(spark: SparkSession, d: str) -> DataFrame:
-    return decl.union_subsets(_scripts(spark, d))
+    sets = decl.union_sites(_typed(spark, d)).select("members").distinct().withColumn("key", F.array_join("members", "|"))
+    return decl.contained_sets(sets, "key", "members").select("smaller", "larger", F.array_join(F.array_sort("missing"), "|").alias("missing"))
 
 
 def duplicate_shapes(spark: SparkSession, d: str) -> DataFrame:
-    return decl.duplicate_shapes(_scripts(spark, d))
+    return decl.duplicate_shapes(_typed(spark, d))
 
 
 def helper_per_package(spark: SparkSession, d: str) -> DataFrame:
@@ -115,8 +121,8 @@ def helper_per_package(spark: SparkSession, d: str) -> DataFrame:
 
 
 def severity_rank(spark: SparkSession, d: str) -> DataFrame:
-    s = _scripts(spark, d)
-    return decl.ranked(decl.duplicate_exports(s), decl.duplicate_values(s), decl.duplicate_unions(s), decl.union_subsets(s), decl.duplicate_shapes(s), decl.duplicate_helpers(decl.go_helpers(s)))
+    s = _typed(spark, d)
+    return decl.ranked(decl.duplicate_exports(s), decl.duplicate_values(s), decl.duplicate_unions(s), decl.union_subsets(s), decl.duplicate_shapes(s), decl.duplicate_helpers(decl.go_helpers(_scripts(spark, d))))
 
 
 QUERIES = {
@@ -137,16 +143,30 @@ _SCRIPTS_SQL = (
     + """,
 k AS (SELECT CASE WHEN module = '' THEN '/' || rel ELSE module || '/' || rel END AS rel, coalesce(CASE WHEN ends_with(rel, '.vue') THEN array_to_string(regexp_extract_all(body, '(?s)<script[^>]*>(.*?)</script>', 1), chr(10)) ELSE body END, '') AS raw
       FROM f WHERE regexp_matches(rel, '\\.[cm]?tsx?$|\\.vue$|\\.go$')),
-s AS (SELECT rel, regexp_replace(regexp_replace(raw, '(?s)/\\*.*?\\*/', '', 'g'), '(?m)(^|[^:"''`\\\\])//.*$', '\\1', 'g') AS text FROM k
-      WHERE NOT regexp_matches(rel, '\\.(test|spec)\\.([cm]?tsx?|vue)$|__tests__|_test\\.go$') AND NOT regexp_matches('/' || rel, '/(%s)/'))
+s AS (SELECT rel, regexp_replace(regexp_replace(raw, '(?s)/\\*.*?\\*/', '', 'g'), '(?m)(^|[^:"''`\\\\])//[^\r\n]*', '\\1', 'g') AS text FROM k
+      WHERE NOT ends_with(rel, '.go') AND NOT regexp_matches(rel, '\\.(test|spec)\\.([cm]?tsx?|vue)$|__tests__|_test\\.go$') AND NOT regexp_matches('/' || rel, '/(%s)/'))
 """
     % "|".join(d.replace(".", "\\.") for d in dims.SKIP_DIRS)
 )
+_CONSTANT_SQL = r"(?m)^[ \t]*(?:export[ \t]+)?const[ \t]+[A-Za-z_$][\w$]*(?:\s*:\s*[^=]+)?\s*=\s*(?:''(?:[^''\\]|\\.)*''|\"(?:[^\"\\]|\\.)*\"|`(?:[^`\\]|\\.)*`)"
+_MEMBER_SQL = "(?:''[^'']+''|\"[^\"]+\")"
+_UNIONS_SQL = rf"""
+h AS (SELECT rel, unnest(regexp_extract_all(text, '(?:type\s+[A-Za-z_$][\w$]*\s*=|[A-Za-z_$][\w$]*\s*\??\s*:)\s*{_MEMBER_SQL}(?:\s*\|\s*{_MEMBER_SQL}){{2,}}')) AS hit FROM s),
+t AS (SELECT rel, hit, list_sort(list_transform(regexp_extract_all(regexp_replace(hit, '^[^''"]*', ''), '{_MEMBER_SQL}'), lambda x: substr(x, 2, length(x) - 2))) AS m FROM h),
+u AS (SELECT rel AS file, regexp_extract(hit, '^(?:type\s+)?([A-Za-z_$][\w$]*)', 1) AS name, m, array_to_string(m, '|') AS members FROM t)
+"""
 SQL = {
     "generated_marker": """
 WITH l AS (SELECT file_id, list_transform(string_split(coalesce(body, ''), chr(10)), lambda x: regexp_replace(x, '\\r+$', '')) AS ls FROM source_files),
 c AS (SELECT file_id, ls, list_position(list_transform(ls, lambda x: NOT (regexp_replace(x, '^[ \\t]+|[ \\t]+$', '', 'g') = '' OR regexp_matches(x, '^[ \\t]*(//|/\\*)'))), true) AS p FROM l)
 SELECT file_id, len(list_filter(CASE WHEN p > 0 THEN list_slice(ls, 1, p - 1) ELSE ls END, lambda x: regexp_matches(x, '^// Code generated .* DO NOT EDIT\\.$'))) > 0 AS marked FROM c""",
     "scanned_files": f"WITH {_FILES_SQL} SELECT module, rel, CASE WHEN contains(rel, '/') THEN regexp_replace(rel, '/[^/]*$', '') ELSE '.' END AS dir FROM f WHERE ends_with(rel, '.go') AND NOT ends_with(rel, '_test.go') AND NOT regexp_matches(rel, '(^|/)\\.[^/]*/') AND NOT regexp_matches(rel, '^({'|'.join(d.replace('.', chr(92) + '.') for d in dims.EXCLUDE_DIRS)})(/|$)')",
-    "duplicate_exports": f"WITH {_SCRIPTS_SQL}, x AS (SELECT DISTINCT rel, unnest(list_concat(regexp_extract_all(text, '{DECLARED}', 1), flatten(list_transform(regexp_extract_all(text, '{DECLARED_MORE}', 1), lambda y: regexp_extract_all(y, '{NEXT_NAME}', 1))))) AS name FROM s) SELECT name, list_sort(list(rel)) AS files FROM x GROUP BY name HAVING count(*) > 1",
+    "duplicate_exports": f"WITH {_SCRIPTS_SQL}, x AS (SELECT DISTINCT rel, unnest(list_concat(regexp_extract_all(text, '{DECLARED}', 1), flatten(list_transform(regexp_extract_all(text, '{DECLARED_MORE}', 1), lambda y: regexp_extract_all(y, '{NEXT_NAME}', 1))))) AS name FROM s) SELECT name, rel AS file FROM x WHERE name IN (SELECT name FROM x GROUP BY name HAVING count(*) > 1)",
+    "duplicate_values": f"""WITH {_SCRIPTS_SQL}, h AS (SELECT rel, unnest(regexp_extract_all(text, '{_CONSTANT_SQL}')) AS hit FROM s),
+c AS (SELECT rel AS file, regexp_extract(hit, 'const[ \\t]+([A-Za-z_$][\\w$]*)', 1) AS name, regexp_extract(hit, '(?s)^[^=]*=\\s*(.)(.*).$', 1) AS quote, regexp_extract(hit, '(?s)^[^=]*=\\s*(.)(.*).$', 2) AS value FROM h),
+long AS (SELECT * FROM c WHERE length(value) >= {dims.MIN_VALUE_LENGTH} AND NOT (quote = '`' AND contains(value, '${{')))
+SELECT value, file, name FROM long WHERE value IN (SELECT value FROM long GROUP BY value HAVING count(*) > 1 AND (count(DISTINCT name) > 1 OR count(DISTINCT file) > 1))""",
+    "duplicate_unions": f"""WITH {_SCRIPTS_SQL}, {_UNIONS_SQL} SELECT members, file, name FROM u WHERE members IN (SELECT members FROM u GROUP BY members HAVING count(*) > 1)""",
+    "union_subsets": f"""WITH {_SCRIPTS_SQL}, {_UNIONS_SQL}, g AS (SELECT DISTINCT members, list_distinct(m) AS m FROM u)
+SELECT a.members AS smaller, b.members AS larger, array_to_string(list_sort(list_filter(b.m, lambda x: NOT list_contains(a.m, x))), '|') AS missing FROM g a JOIN g b ON len(a.m) < len(b.m) AND list_has_all(b.m, a.m)""",
 }
