@@ -208,8 +208,9 @@ def _third_party_shingles(files: DataFrame) -> DataFrame:
                 if third_party(body, name, module):
                     h = shingles(body)
                     key = h.tobytes()
-                    if key not in seen and len(seen) < 100_000:  # a copy of a copy adds nothing
-                        seen.add(key)
+                    if key not in seen:  # a copy of a copy adds nothing
+                        if len(seen) < 100_000:  # bounds the memory only: what is not remembered is given again, and distinct() removes it
+                            seen.add(key)
                         parts.append(h)
             yield pd.DataFrame({"shingle": np.concatenate(parts) if parts else np.zeros(0, np.int64)})
 

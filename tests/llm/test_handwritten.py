@@ -93,3 +93,10 @@ def test_forest_and_copies(spark):
     assert got[80] == "forest" and got[max(i for i, x in enumerate(rows) if x[2].endswith("internal/a.go"))] == "copy"
     assert h.judged(df.where("false")).count() == 0
     assert h.judged(df.where("file_id < 4")).count() == 2  # too few notices for a forest
+
+
+def test_third_party_shingles_of_any_number_of_files(spark):
+    """More different files in one task than it remembers: all their shingles are known, repeats once."""
+    n = 100_020
+    files = spark.range(n + 5, numPartitions=1).selectExpr("'m' AS module_path", "'m/vendor/x.go' AS file_name", f"concat('word', id % {n}) AS body")
+    assert h._third_party_shingles(files).count() == n
