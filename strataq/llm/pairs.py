@@ -82,9 +82,12 @@ _DIRECTIVE_GO = re.compile(r"^[a-z0-9]+:[a-z0-9]\S*")
 _TAG = re.compile(r"^@\w+")
 _PLACEHOLDER = re.compile(
     r"^[\W_]*(?:todo|fixme|xxx|hack|tbd|wip|n/?a|none|nothing|description|desc|docs?|documentation|comment|placeholder|undocumented|no (?:description|documentation|docs?|comment)s?(?: yet| provided| available)?|"
-    r"(?:add|write|insert|missing|needs|pending|lorem ipsum)\b[^.]{0,40}|to be (?:documented|done|written|described|added)|document (?:me|this)|\.{2,}|…|\?+|-+)[\W_]*$",
+    r"(?:please )?(?:add|write|insert|missing|needs|pending)(?: (?:an?|the|some|more|proper|your|this))* (?:descriptions?|desc|docs?|documentation|(?:doc(?:umentation)? )?comments?|docstrings?|text|summary|explanation)(?: (?:here|later|soon|for this))*|"
+    r"missing|pending|needs (?:to be (?:documented|done|written|described|added)|documenting)|lorem ipsum\b[^.]{0,40}|to be (?:documented|done|written|described|added)|document (?:me|this)|\.{2,}|…|\?+|-+)[\W_]*$",
     re.I,
 )
+#: The first word of a line; where it is the element's own name a sentence about it follows.
+_FIRST = re.compile(r"[\W_]*(\w*)")
 _UNFINISHED = re.compile(r"^[\W_]*(?:todo|fixme|xxx|hack|tbd)\b", re.I)
 _CODE = re.compile(
     r"^(?:(?:return|break|continue|goto|defer|go|if|for|switch|case|else|func|var|const|let|type|import|package|function|class|export|await|throw|try|catch)\b.*[(){}\[\];=:,]|return\b(?:\s+[\w.\"']+(?:\s*,\s*[\w.\"']+)*)?\s*;?|"
@@ -131,7 +134,8 @@ def is_trivial(doc: str, element: str) -> bool:
     text = [x for x in text if not re.fullmatch(r"(?:[-=*#~_+/.<>|]{2,}\s*.{0,60}?\s*[-=*#~_+/.<>|]{2,}|#{1,6}\s.*|[-=*#~_+/|]{3,}\s*\S.{0,50})", x)]
     if not text:
         return True
-    if all(_PLACEHOLDER.match(x) or _UNFINISHED.match(x) and len(x.split()) <= 4 for x in text):
+    name = element.rsplit(".", 1)[-1].lower()
+    if all(_PLACEHOLDER.match(x) and _FIRST.match(x).group(1).lower() != name or _UNFINISHED.match(x) and len(x.split()) <= 4 for x in text):
         return True
     if all(_CODE.match(x) for x in text):
         return True

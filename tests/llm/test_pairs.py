@@ -186,6 +186,16 @@ def test_not_trivial(doc, element):
     assert not is_trivial(doc, element)
 
 
+@pytest.mark.parametrize("doc, element", [("// Add inserts an item into the set.", "(*Set).Add"), ("// Write flushes the buffer to disk.", "Write"), ("// Insert places v before the head.", "Insert"), ("/** Add text */", "Note.add"), ("/** Add a user to the group */", "join"), ("// needs reports a missing lock", "needs"), ("// Missing keys give zero.", "Get")])
+def test_a_sentence_that_starts_like_a_placeholder(doc, element):
+    assert not is_trivial(doc, element)
+
+
+@pytest.mark.parametrize("doc", ["// Add description", "// add a description here.", "/** Insert comment here */", "// Write documentation", "// missing docs", "// Needs documentation.", "// pending", "// needs to be documented", "// Lorem ipsum dolor sit amet"])
+def test_placeholders_with_a_verb(doc):
+    assert is_trivial(doc, "Load")
+
+
 def test_languages():
     assert [language(n, c) for n, c in (("a.GO", None), ("a.mjs", None), ("a.vue", "x"), ("noext", " typescript "), ("a.rs", "Rust"), (None, None))] == [GO, SCRIPT, VUE, SCRIPT, OTHER, OTHER]
     assert lex("func f() {}", "a.go", None)[0][5] == "f"
