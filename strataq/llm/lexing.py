@@ -6,7 +6,7 @@ own line without anything of interest inside leave no token. What remains:
   k      a comment; adjoining // lines are one
   f, b   a function declaration, a const bound to a function
   t      a class head
-  m      a name before a parenthesis, at the start of a line
+  m      a name before a parenthesis, at the start of a line; at depth 1 of a class any word may name a method
 """
 
 from __future__ import annotations
@@ -51,8 +51,6 @@ _BOUND = re.compile(
 )
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 _BEFORE_REGEX = re.compile(r"(?:^|[(,=:\[!&|?{};+\-*%~^<>\n]|\b(?:return|typeof|case|in|of|do|else|void|delete|throw|new|await|yield))\s*\Z")
-#: Words before a parenthesis that name no method.
-_KEYWORDS = frozenset("if for while switch catch return function with await typeof new do else throw yield super import void delete in of case".split())
 _VUE_SCRIPT = re.compile(r"<!--.*?-->|<script\b[^>]*>(?P<code>.*?)</script\s*>", re.S | re.I)
 
 Token = tuple[int, int, int, int, str, str]  # first and last line, start, end, kind, text
@@ -141,9 +139,8 @@ def lex_script(body: str, base: int = 0, stop: int | None = None) -> list[Token]
             if kind == "o" or kind == "c":
                 out.append((line, line, base + start, base + end, kind, m.group()))
             elif kind == "m" or kind == "member":
-                if m.group("member") not in _KEYWORDS:
-                    out.append((line, line, base + start, base + end, "m", m.group("member")))
-                    head = end
+                out.append((line, line, base + start, base + end, "m", m.group("member")))
+                head = end
             elif kind == "line" or kind == "block":
                 if _own_line(code, start):
                     out.append((line, line + count("\n", start, end), base + start, base + end, "k", code[start:end]))

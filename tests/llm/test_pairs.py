@@ -142,6 +142,15 @@ def test_typescript(spark):
     assert found(spark, "x/a.ts", TS_FILE.replace("\n", "\r\n")) == want
 
 
+def test_methods_named_like_keywords(spark):
+    names = ["delete", "catch", "return", "throw", "with", "import", "new", "for", "if", "in", "of", "function"]
+    body = "export class Box {\n" + "".join(f"  /** Says what {n} does here. */\n  {n}(x) {{\n    /** No method at all. */\n    if (x) {{ return (x) }}\n    /** Nor is this one. */\n    for (const y of x) {{\n      y()\n    }}\n  }}\n" for n in names)
+    body += "  /** Makes one of them. */\n  static of(x) { return x }\n}\n/** No function either. */\nif (a) {\n  /** Nor this one. */\n  while (a) { a() }\n}\n/** Works after them. */\nfunction last() {}\n"
+    assert [n for _, n in found(spark, "a.ts", body)] == [f"Box.{n}" for n in names] + ["Box.of", "last"]
+    code = {r["element_name"]: r["code"] for r in run(spark, ("a.ts", None, body), op=pairs).collect()}
+    assert code["Box.of"].strip() == "static of(x) { return x }" and code["Box.if"].endswith("y()\n    }\n  }")
+
+
 def test_vue_reads_its_scripts_only(spark):
     body = "<template>\n<pre>/** Shows code. */\nfunction no() {}</pre>\n</template>\n<!-- <script>\n/** Commented out here. */\nfunction gone() {}\n</script> -->\n<script setup lang=\"ts\">\n/** Picks the colour. */\nfunction pick() {}\n</script>\n<style></style>\n<script>\n/** Second of two. */\nexport const two = () => 1\n</script>\n"
     assert found(spark, "c.vue", body) == [(11, "pick"), (16, "two")]
