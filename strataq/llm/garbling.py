@@ -29,6 +29,8 @@ STRICT = [all(right == "utf-8" and wrong != "ascii" for right, wrong in CHAINS[n
 ODDS_STRICT, ODDS_WORD, ODDS_TEXT = -1.0, 2.0, 9.0
 #: A word that could be written as it stands needs far more: its own odds, a gain per bigram, and this many such words with these odds in a text.
 ODDS_NATURAL, GAIN_NATURAL, WORDS_NATURAL, ODDS_TEXT_NATURAL = 8.0, 2.0, 3, 40.0
+#: What a word in capitals that looks natural gains per bigram, both read in small letters; the sum is its odds.
+GAIN_CAPITALS = 0.5
 _SPLIT = re.compile(r"[ \t\r\n\f\v]+")
 _INLINE = re.compile(r"`[^`\n]*`")
 #: Signs that may stand between letters of a sound word.
@@ -122,6 +124,11 @@ class Judge:
         ids = bigrams(word)
         return self.table[ids].sum(axis=0), len(ids)
 
+    def _small(self, word: str) -> float:
+        """How sound the word reads in small letters, per bigram."""
+        s, n = self.score(word.lower())
+        return float(s[SOUND]) / n if n else -np.inf
+
     def word(self, word: str) -> tuple[str, float, str | None] | None:
         """(chain, log odds against sound, the word restored or None where bytes are lost); None for a sound word."""
         if word not in self.known:
@@ -138,20 +145,26 @@ class Judge:
             return NAMES[k], 99.0, None
         here, odd = s[SOUND] / max(n, 1), unnatural(word)
         for k in sorted(np.argsort(-odds[:SOUND])[:10], key=lambda k: (not STRICT[k], -odds[k])):
-            if odds[k] < (ODDS_STRICT if STRICT[k] else ODDS_WORD if odd else ODDS_NATURAL) or not STRICT[k] and not odd and word.isupper():
-                continue  # capitals read as another alphabet's small letters prove nothing
+            if odds[k] < (ODDS_STRICT if STRICT[k] else ODDS_WORD if odd else ODDS_NATURAL):
+                continue
             back = restore(word, CHAINS[NAMES[k]])
             if back is None or back == word or any(ord(c) < 32 or 127 <= ord(c) < 160 for c in back) or not STRICT[k] and unnatural(back):
                 continue
             t, m = self.score(back)
             if not STRICT[k] and not odd and (not m or t[SOUND] / m < here + GAIN_NATURAL):
                 continue
+            sure = float(odds[k])
+            if not STRICT[k] and not odd and word.isupper():  # capitals are rare in any case; what tells is which of the two reads better in small letters
+                gain = self._small(back) - self._small(word)
+                if gain < GAIN_CAPITALS:
+                    continue
+                sure = min(sure, gain * n)
             if m and t[SOUND] / m < here + 0.5:
                 deeper = self._word(back) if len(back) < len(word) else None
                 if deeper is None or deeper[2] is None:
                     continue
                 back = deeper[2]
-            return NAMES[k], float(odds[k]), back
+            return NAMES[k], sure, back
         return None
 
     def evidence(self, text: str | None) -> tuple[str, float, bool] | None:

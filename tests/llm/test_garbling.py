@@ -83,6 +83,16 @@ def test_garbled_texts_are_found(judge, lang, name):
         assert judge.restored(bad) == SOUND[lang]
 
 
+@pytest.mark.parametrize("name", ["cp1251>koi8-r", "koi8-r>cp1251"])
+def test_small_letters_read_as_capitals(judge, name):
+    text = SOUND["ru"].lower()
+    words = [garble(w, CHAINS[name]) or w for w in text.split(" ")]
+    assert judge.text(" ".join(words)) is not None
+    part = "The note says that " + " ".join(garble(w, CHAINS[name]) for w in "скрывает зависимость после разделения".split()) + " in the middle."
+    assert judge.restored(part) == "The note says that скрывает зависимость после разделения in the middle."
+    assert judge.text("The note says that СКРЫВАЕТ ЗАВИСИМОСТЬ ПОСЛЕ РАЗДЕЛЕНИЯ in the middle.") is None
+
+
 def test_one_damaged_word_in_a_long_text(judge):
     text = "A plain line.\n" * 2000 + "It " + garble("doesn’t", CHAINS["utf-8>cp1252"]) + " hold… “really”\nend"
     chain, _ = judge.text(text)
