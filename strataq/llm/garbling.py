@@ -26,9 +26,11 @@ SOUND = len(NAMES)  # the class of sound words
 #: Chains whose bytes had to decode as UTF-8, which other text hardly ever does.
 STRICT = [all(right == "utf-8" and wrong != "ascii" for right, wrong in CHAINS[n]) for n in NAMES]
 #: Log odds a word needs for its chain, where bytes had to decode as UTF-8 (unlikely by chance) and elsewhere, and a whole text needs in the latter case.
-ODDS_STRICT, ODDS_WORD, ODDS_TEXT = -1.0, 2.0, 9.0
+ODDS_STRICT, ODDS_WORD, ODDS_TEXT = -1.0, 2.0, 5.0
 #: A word that could be written as it stands needs far more: its own odds, a gain per bigram, and this many such words with these odds in a text.
 ODDS_NATURAL, GAIN_NATURAL, WORDS_NATURAL, ODDS_TEXT_NATURAL = 8.0, 2.0, 3, 40.0
+#: Words that agree on one chain reach ODDS_TEXT_NATURAL in any number; words with letters that are rare in the text's sound words, where their inverses have common ones, need less.
+ODDS_TEXT_FOREIGN = 20.0
 #: What a word in capitals that looks natural gains per bigram, both read in small letters; the sum is its odds.
 GAIN_CAPITALS = 0.5
 _SPLIT = re.compile(r"[ \t\r\n\f\v]+")
@@ -39,12 +41,14 @@ _JOINING = frozenset("'’‘‐‑–—…/·-+._:@#&*=|,;()[]{}<>\\~^%$!?\"
 
 def unnatural(word: str) -> bool:
     """Whether letters of the word meet as no writer joins them: a sign within a word, a capital after a small
-    letter, two alphabets in one word, or control characters. Only marks beyond ASCII count."""
+    letter, a letter after a superscript one, two alphabets in one word, or control characters. Only marks beyond ASCII count."""
     before, kind_before = "", ""
     for i, c in enumerate(word):
         if c < "\x80" or c.isalpha():
             kind = "" if not c.isalpha() else "latin" if c < "\u0250" or "\u1e00" <= c < "\u1f00" else "greek" if "\u0370" <= c < "\u0400" else "cyrillic" if "\u0400" <= c < "\u0530" else "other"
             if kind and kind_before:
+                if before in "ⁿⁱ":
+                    return True
                 high = c > "\x7f" or before > "\x7f"
                 if high and c.isupper() and before.islower() and before not in "µªº":
                     return True
@@ -61,6 +65,11 @@ def unnatural(word: str) -> bool:
     return False
 
 
+def letters(word: str) -> set[str]:
+    """Its letters beyond ASCII, small."""
+    return {c for c in word.lower() if c > "\x7f" and c.isalpha()}
+
+
 def bigrams(word: str) -> np.ndarray:
     """Buckets of the byte bigrams that hold a byte above ASCII."""
     b = np.frombuffer(b" " + word.encode("utf-8", "surrogatepass") + b" ", dtype=np.uint8).astype(np.uint32)
@@ -172,11 +181,13 @@ class Judge:
         if not text or text.isascii():
             return None
         odds: Counter[str] = Counter()
-        plain: dict[str, float] = {}
+        plain: dict[str, tuple[str, float, str]] = {}
+        own: Counter[str] = Counter()
         sure, marked = False, 0.0
         for w in high_words(unquoted(text)):
             got = self.word(w)
             if got is None:
+                own.update(letters(w))
                 continue
             odds[got[0]] += got[1]
             if got[2] is None or STRICT[NAMES.index(got[0])]:
@@ -184,8 +195,17 @@ class Judge:
             elif unnatural(w):
                 marked += got[1]
             else:
-                plain[w] = got[1]
-        many = len(plain) >= WORDS_NATURAL and sum(plain.values()) >= ODDS_TEXT_NATURAL
+                plain[w] = got
+        many = len(plain) >= WORDS_NATURAL and sum(x for _, x, _ in plain.values()) >= ODDS_TEXT_NATURAL
+        alike: Counter[str] = Counter()
+        foreign = 0.0
+        for w, (name, x, back) in plain.items():
+            mine, theirs = letters(w), letters(back)
+            if mine:  # a no-break space alone is no letter
+                alike[name] += x
+                here, there = mine - theirs, theirs - mine
+                foreign += x if here and there and min(own[c] for c in there) > 3 * max(own[c] for c in here) else 0.0
+        many = many or max(alike.values(), default=0.0) >= ODDS_TEXT_NATURAL or foreign >= ODDS_TEXT_FOREIGN
         if not (sure or marked >= ODDS_TEXT or many):
             return None
         chain, best = odds.most_common(1)[0]

@@ -93,6 +93,24 @@ def test_small_letters_read_as_capitals(judge, name):
     assert judge.text("The note says that СКРЫВАЕТ ЗАВИСИМОСТЬ ПОСЛЕ РАЗДЕЛЕНИЯ in the middle.") is None
 
 
+@pytest.mark.parametrize("lang, name, words", [("de", "cp1252>cp437", ["für"]), ("fr", "cp1252>cp1250", ["dès", "là"])])
+def test_a_few_words_damaged_along_a_one_byte_chain(judge, lang, name, words):
+    sound = "\n".join([SOUND[lang]] * 4)
+    bad = SOUND[lang]
+    for w in words:
+        bad = bad.replace(w, garble(w, CHAINS[name]))
+    assert bad != SOUND[lang] and judge.text(f"{sound}\n{bad}") is not None and judge.text(f"{sound}\n{SOUND[lang]}") is None
+
+
+@pytest.mark.parametrize("name", ["Gdańsk", "Băsescu", "Østfold", "北京", "Šimůnek"])
+def test_a_foreign_name_is_no_damage(judge, name):
+    assert all(judge.text(f"{text} {name}") is None for text in (SOUND["en"], SOUND["fr"], SOUND["de"], "An ASCII text by"))
+
+
+def test_letters_after_superscript_ones():
+    assert unnatural("Grⁿn") and unnatural("fⁿr") and not unnatural("2ⁿ") and not unnatural("xⁿ")
+
+
 def test_one_damaged_word_in_a_long_text(judge):
     text = "A plain line.\n" * 2000 + "It " + garble("doesn’t", CHAINS["utf-8>cp1252"]) + " hold… “really”\nend"
     chain, _ = judge.text(text)
