@@ -8,6 +8,7 @@ is left. Which texts of a length are taken is decided by a seeded rank.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 from strataq.common import salted_rank, spread, stash
 from strataq.llm.sizes import TOKENIZER, token_count
 
-#: Tokens up to which the last part of a budget is closed by dynamic programming.
+#: Tokens to which the rest of a budget is brought before dynamic programming closes it; bits of all its layers (64 MB) up to which it chooses anew.
 KNAPSACK_TOKENS = 1 << 16
+KNAPSACK_BITS = 1 << 29
 ITEMS_PER_SALT = 500_000
 
 
@@ -49,24 +51,46 @@ def knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
     return out
 
 
+def _bits(counts: dict[int, int], budget: int) -> int:
+    """What the layers of knapsack() take at most."""
+    return budget * sum(min(n, budget // k).bit_length() for k, n in counts.items() if k)
+
+
 def fit_budget(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many texts of each length make up a budget below the sum of all."""
+    """How many texts of each length make up a budget below the sum of all.
+
+    Every length gives its proportional part, the longest one more while room
+    is left, and a knapsack closes the rest. Where that misses the budget, the
+    knapsack chooses anew from the proportional part on, then from nothing, each
+    up to KNAPSACK_BITS. Beyond, less than the longest text and KNAPSACK_TOKENS / 2
+    can be missed.
+    """
     total = sum(length * n for length, n in counts.items())
     if budget <= 0 or not total:
         return {}
     if budget >= total:
         return dict(counts)
-    take = {length: n * budget // total for length, n in counts.items()}
-    rest = budget - sum(length * n for length, n in take.items())
+    part = {length: n * budget // total for length, n in counts.items()}
+    more, rest = dict(part), budget - sum(length * n for length, n in part.items())
     for length in sorted(counts, reverse=True):
         if rest <= KNAPSACK_TOKENS:
             break
-        if take[length] < counts[length] and length <= rest - KNAPSACK_TOKENS // 2:
-            take[length] += 1
+        if more[length] < counts[length] and length <= rest - KNAPSACK_TOKENS // 2:
+            more[length] += 1
             rest -= length
-    for length, n in knapsack({k: n - take[k] for k, n in counts.items() if 0 < k <= rest and n > take[k]}, min(rest, 4 * KNAPSACK_TOKENS)).items():
-        take[length] += n
-    return {k: n for k, n in take.items() if n}
+    best, reached = {}, -1
+    for take in (more, part, dict.fromkeys(counts, 0)):
+        left = budget - sum(length * n for length, n in take.items())
+        free = {k: n - take[k] for k, n in counts.items() if 0 < k <= left and n > take[k]}
+        if take is not more and _bits(free, left) > KNAPSACK_BITS:
+            continue
+        got = Counter(take) + Counter(knapsack(free, left))
+        size = sum(length * n for length, n in got.items())
+        if size > reached:
+            best, reached = dict(got), size
+        if reached == budget:
+            break
+    return best
 
 
 def sized_texts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:

@@ -116,6 +116,12 @@ def test_budgets_are_met(budget):
     assert sum(k * n for k, n in got.items()) == min(budget, total)
 
 
+@pytest.mark.parametrize("counts, budget", [({300_000: 1, 200_000: 1, 50_000: 1}, 310_000), ({300_000: 2, 200_000: 1, 70_001: 3}, 510_001), ({90_000: 3, 80_000: 3, 70_000: 3}, 500_000)])
+def test_budgets_of_long_texts_are_met_as_nearly_as_any_choice_does(counts, budget):
+    got = fit_budget(counts, budget)
+    assert all(0 < n <= counts[k] for k, n in got.items()) and sum(k * n for k, n in got.items()) == reachable(counts, budget)
+
+
 def test_mix(spark):
     r = random.Random(1)
     rows = [(f"text {i} " + " word" * r.randrange(1, 60), "big") for i in range(300)] + [(f"rare {i}", "small") for i in range(12)] + [("again and again", "small")] * 5 + [("no target", "other"), ("null source", None), (None, "big"), ("", "big")]
