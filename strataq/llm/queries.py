@@ -45,12 +45,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(p7_mix(spark, d), table(spark, d, "mix_targets"))
 
 
-def p7_shares_of_all(spark: SparkSession, d: str) -> DataFrame:
+def p7_mix_of_all(spark: SparkSession, d: str) -> DataFrame:
     """The mix as large as all targeted texts together: small sources repeat up to their caps and fall short."""
     documents, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
     known = sized_texts(documents).join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
     size = known.agg(F.sum("n_tokens")).first()[0] or 0
-    return shares(mix(documents, targets, total_tokens=size), targets)
+    return mix(documents, targets, total_tokens=size)
+
+
+def p7_shares_of_all(spark: SparkSession, d: str) -> DataFrame:
+    return shares(p7_mix_of_all(spark, d), table(spark, d, "mix_targets"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -61,5 +65,5 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     return find_garbled(table(spark, d, "documents"), with_text=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p5_found, p5_pairs, p6_containers, p6_report, p7_mix, p7_shares, p7_shares_of_all, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p5_found, p5_pairs, p6_containers, p6_report, p7_mix, p7_shares, p7_mix_of_all, p7_shares_of_all, p8_found, p8_restored)}
 SQL: dict[str, str] = {}

@@ -139,3 +139,11 @@ def test_mix(spark):
     short = {r["source"]: r for r in shares(mix(d, targets, total_tokens=10**9), targets).collect()}
     assert short["small"]["uses"] == 3 * 13 and short["big"]["uses"] == 300
     assert mix(d.where("false"), targets).count() == 0 and mix(d, targets.where("false")).count() == 0
+
+
+def test_the_mix_of_all_is_registered(spark):
+    from strataq.llm.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    size = lambda name: QUERIES[name](spark, d).agg(F.sum(F.col("n_tokens") * F.col("copies"))).first()[0]
+    assert size("p7_mix_of_all") > 2 * size("p7_mix")
