@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataq.common import table
 from strataq.operators.inventories import unit_differences
-from strataq.operators.percentiles import combine, count_once, daily_counts, percentiles
+from strataq.operators.percentiles import combine, combine_each, count_once, daily_counts, percentiles
 from strataq.operators.snapshot_diff import snapshot_changes
 
 PROBS = [("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99)]
@@ -21,7 +21,12 @@ def _daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return percentiles(combine(_daily(spark, d), "module_path", "scan_day"), "module_path", PROBS)
+    """Of every module for each day, each week and all days, all combined from the day results."""
+    return percentiles(combine_each(_daily(spark, d), "module_path", "scan_day"), ["module_path", "day_range", "starts"], PROBS)
+
+
+def p2_all_days(spark: SparkSession, d: str) -> DataFrame:
+    return percentiles(combine(_daily(spark, d), "module_path", "scan_day"), ["module_path"], PROBS)
 
 
 def p2_daily(spark: SparkSession, d: str) -> DataFrame:
@@ -29,7 +34,7 @@ def p2_daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_range_of_days(spark: SparkSession, d: str) -> DataFrame:
-    return percentiles(combine(_daily(spark, d), "module_path", "scan_day", SINCE, UNTIL), "module_path", PROBS)
+    return percentiles(combine(_daily(spark, d), "module_path", "scan_day", SINCE, UNTIL), ["module_path"], PROBS)
 
 
 def p3_changes(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +53,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_differences(spark, d).select("root_path", "file_name", "line_no", "kind", "field_name")
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_daily, p2_range_of_days, p3_found, p3_changes, p4_found, p4_differences)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_all_days, p2_daily, p2_range_of_days, p3_found, p3_changes, p4_found, p4_differences)}
 
 _DAILY_SQL = """
 WITH f AS (
@@ -70,10 +75,14 @@ daily AS (
   FROM b GROUP BY ALL)
 """
 _PERCENTILE_SQL = """,
-c AS (SELECT measure_name, module_path, value, sum(n) AS n FROM daily {where} GROUP BY ALL),
-w AS (SELECT *, sum(n) OVER (PARTITION BY measure_name, module_path ORDER BY value) AS cum, sum(n) OVER (PARTITION BY measure_name, module_path) AS total FROM c)
-SELECT module_path, measure_name, CAST(max(total) AS BIGINT) AS n, {cols} FROM w GROUP BY module_path, measure_name
+c AS (SELECT measure_name, {keys}, value, sum(n) AS n FROM {source} GROUP BY ALL),
+w AS (SELECT *, sum(n) OVER (PARTITION BY measure_name, {keys} ORDER BY value) AS cum, sum(n) OVER (PARTITION BY measure_name, {keys}) AS total FROM c)
+SELECT {keys}, measure_name, CAST(max(total) AS BIGINT) AS n, {cols} FROM w GROUP BY {keys}, measure_name
 """.replace("{cols}", ", ".join(f"min(CASE WHEN cum >= ceil({q} * CAST(total AS DOUBLE)) THEN value END) AS {name}" for name, q in PROBS))
+_EACH_SQL = """(
+  SELECT *, 'day' AS day_range, scan_day AS starts FROM daily WHERE scan_day IS NOT NULL
+  UNION ALL SELECT *, 'week', CAST(date_trunc('week', scan_day) AS DATE) FROM daily WHERE scan_day IS NOT NULL
+  UNION ALL SELECT *, 'all', NULL FROM daily)"""
 
 _P3_SQL = """
 WITH d AS (
@@ -120,8 +129,9 @@ def _p4_sql(values: bool) -> str:
 
 SQL = {
     "p2_daily": _DAILY_SQL + "SELECT * FROM daily",
-    "p2_percentiles": _DAILY_SQL + _PERCENTILE_SQL.replace("{where}", ""),
-    "p2_range_of_days": _DAILY_SQL + _PERCENTILE_SQL.replace("{where}", f"WHERE scan_day BETWEEN DATE '{SINCE}' AND DATE '{UNTIL}'"),
+    "p2_percentiles": _DAILY_SQL + _PERCENTILE_SQL.replace("{source}", _EACH_SQL).replace("{keys}", "module_path, day_range, starts"),
+    "p2_all_days": _DAILY_SQL + _PERCENTILE_SQL.replace("{source}", "daily").replace("{keys}", "module_path"),
+    "p2_range_of_days": _DAILY_SQL + _PERCENTILE_SQL.replace("{source}", f"daily WHERE scan_day BETWEEN DATE '{SINCE}' AND DATE '{UNTIL}'").replace("{keys}", "module_path"),
     "p3_found": _P3_SQL.replace("{more}", ""),
     "p3_changes": _P3_SQL.replace("{more}", ", t.figure / t.scale AS then_figure, n.figure / n.scale AS now_figure"),
     "p4_found": _p4_sql(False),

@@ -44,7 +44,7 @@ def test_percentiles_against_sorting(spark):
     df = spark.createDataFrame(rows, METRICS)
     once = pc.count_once(df, "metric_id", "received_at", ["scan_day", "module_path", "v"])
     daily = pc.daily_counts(once, "module_path", "scan_day", ["v"])
-    got = {r["module_path"]: r for r in pc.percentiles(pc.combine(daily, "module_path", "scan_day"), "module_path", [("p50", 0.5), ("p99", 0.99)]).collect()}
+    got = {r["module_path"]: r for r in pc.percentiles(pc.combine(daily, "module_path", "scan_day"), ["module_path"], [("p50", 0.5), ("p99", 0.99)]).collect()}
     last = {}
     for i, _, m, v, at, *_ in rows:
         if i not in last or at > last[i][2]:
@@ -75,8 +75,42 @@ def test_percentiles_of_nothing_and_of_nulls(spark):
     once = pc.count_once(df, "metric_id", "received_at", ["scan_day", "module_path", "v"])
     assert once.count() == 3  # rows without an id are not taken for one another
     counts = pc.combine(pc.daily_counts(once, "module_path", "scan_day", ["v"]), "module_path", "scan_day")
-    assert [(r["module_path"], r["n"], r["p"]) for r in pc.percentiles(counts, "module_path", [("p", 0.5)]).collect()] == [("m", 2, 7)]
-    assert pc.percentiles(counts.where("false"), "module_path", [("p", 0.5)]).count() == 0
+    assert [(r["module_path"], r["n"], r["p"]) for r in pc.percentiles(counts, ["module_path"], [("p", 0.5)]).collect()] == [("m", 2, 7)]
+    assert pc.percentiles(counts.where("false"), ["module_path"], [("p", 0.5)]).count() == 0
+
+
+def test_percentiles_of_fractions_keep_the_bound(spark):
+    r = random.Random(5)
+    vs = [0.0, -0.75, float("inf"), 0.001, 1e-300, 1e300] + [r.uniform(-3, 3) for _ in range(300)] + [10 ** r.uniform(-9, 12) for _ in range(300)]
+    df = spark.createDataFrame([("m", None, v) for v in vs] + [("m", None, float("nan")), ("m", None, None)], "module_path string, scan_day date, x double")
+    probs = [(f"q{i}", q) for i, q in enumerate((0.01, 0.2, 0.4, 0.5, 0.9, 0.99, 1.0))]
+    got = pc.percentiles(pc.combine(pc.daily_counts(df, "module_path", "scan_day", ["x"]), "module_path", "scan_day"), ["module_path"], probs).first()
+    assert got["n"] == len(vs)
+    for name, q in probs:
+        exact = sorted(vs)[math.ceil(q * len(vs)) - 1]
+        assert got[name] == exact or abs(got[name] - exact) <= abs(exact) / 2**pc.BITS
+
+
+def test_ranges_never_fall(spark):
+    r = random.Random(6)
+    whole = sorted({0, 1, -1, 1023, 1024, 1025, 2**40, -(2**40)} | {r.randrange(-(10**12), 10**12) for _ in range(500)} | {r.randrange(-3000, 3000) for _ in range(500)})
+    got = [x["s"] for x in spark.createDataFrame([(v,) for v in whole], "v long").select("v", pc.value_range(F.col("v")).alias("s")).orderBy("v").collect()]
+    assert got == sorted(got) and len(set(got)) > 3
+    parts = sorted({0.0, 1e-320, -1e-320, float("inf"), float("-inf")} | {r.uniform(-1, 1) * 10 ** r.uniform(-20, 20) for _ in range(800)})
+    got = [x["s"] for x in spark.createDataFrame([(v,) for v in parts], "v double").select("v", pc.value_range(F.col("v"), fractional=True).alias("s")).orderBy("v").collect()]
+    assert got == sorted(got)
+
+
+def test_day_results_combine_into_each_range(spark):
+    df = spark.createDataFrame(metric_rows(3), METRICS)
+    each = pc.combine_each(pc.daily_counts(df, "module_path", "scan_day", ["v"]), "module_path", "scan_day")
+    got = {(r["day_range"], r["starts"], r["module_path"]): r["n"] for r in pc.percentiles(each, ["module_path", "day_range", "starts"], [("p", 0.5)]).collect()}
+    want = Counter()
+    for r in df.where("v IS NOT NULL").collect():
+        day = r["scan_day"]
+        for key in (("day", day), ("week", day - __import__("datetime").timedelta(days=day.weekday())), ("all", None)):
+            want[(*key, r["module_path"])] += 1
+    assert got == dict(want)
 
 
 @pytest.mark.parametrize("vs", [[1.0, 2.0, 4.0], [1.0, 2.0], [3.5], [2.0, 2.0, 2.0, 9.0]])
