@@ -113,11 +113,14 @@ DAY_RANGES = ("day", "week", "all")
 
 
 def combine_each(daily: DataFrame, group: str, day: str) -> DataFrame:
-    """(measure_name, group, day_range, starts, value, n): the day results added up to every one of DAY_RANGES. starts
-    is the first day of the range, null for all days. Rows without a day count towards all days only."""
+    """(measure_name, group, day_range, starts, value, n): each day result under every one of DAY_RANGES, for
+    percentiles() to add up. starts is the first day of the range, null for all days. Rows without a day count towards
+    all days only."""
     dates = {"day": F.col(day).cast("date"), "week": F.date_trunc("week", day).cast("date"), "all": F.lit(None).cast("date")}
-    labels = F.filter(F.array(*[F.struct(F.lit(k).alias("day_range"), dates[k].alias("starts")) for k in DAY_RANGES]), lambda x: (x["day_range"] == "all") | x["starts"].isNotNull())
-    return daily.select("measure_name", group, F.inline(labels), "value", "n").groupBy("measure_name", group, "day_range", "starts", "value").agg(F.sum("n").alias("n"))
+    each = [F.struct(F.lit(k).alias("day_range"), dates[k].alias("starts")) for k in DAY_RANGES]
+    # no lambda here: two plans with one are never taken for the same, and the shuffle would not be shared
+    labels = F.when(F.col(day).isNull(), F.array(each[-1])).otherwise(F.array(*each))
+    return daily.select("measure_name", group, F.inline(labels), "value", "n")
 
 
 def values_at_ranks(ranged: DataFrame, keys: Sequence[str], ranks: dict[str, Column]) -> DataFrame:
@@ -126,11 +129,14 @@ def values_at_ranks(ranged: DataFrame, keys: Sequence[str], ranks: dict[str, Col
     ranks are expressions over the column total, the number of values of a
     group; _range never falls as the value grows. No task ever holds a whole
     group: running sums are taken within each range, the sizes of the ranges
-    before it are added from one total per group and range.
+    before it are added from one total per group and range. Rows of one value
+    may come in parts: they are shuffled once, to their range, and summed there.
     """
+    placed = ranged.select("_range", *keys, "value", "n").repartition("_range", *keys)
+    summed = placed.groupBy("_range", *keys, "value").agg(F.sum("n").alias("n"))
     in_range = Window.partitionBy("_range", *keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    running = ranged.withColumn("_run", F.sum("n").over(in_range))
-    totals = running.groupBy("_range", *keys).agg(F.sum("n").alias("_here"))  # on the window's own partitions
+    running = summed.withColumn("_run", F.sum("n").over(in_range))
+    totals = summed.groupBy("_range", *keys).agg(F.sum("n").alias("_here"))  # over the sums, so that both read one shuffle
     whole = Window.partitionBy(*keys)
     offsets = totals.select(
         F.col("_range").alias("_p"),
@@ -141,8 +147,8 @@ def values_at_ranks(ranged: DataFrame, keys: Sequence[str], ranks: dict[str, Col
     on = F.col("_range") == F.col("_p")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    placed = running.join(offsets, on).withColumn("_cum", F.col("_run") + F.col("_before"))
-    return placed.groupBy(*keys).agg(
+    reached = running.join(offsets, on).withColumn("_cum", F.col("_run") + F.col("_before"))
+    return reached.groupBy(*keys).agg(
         F.max("total").alias("n"),
         *[F.min(F.when(F.col("_cum") >= rank, F.col("value"))).alias(name) for name, rank in ranks.items()],
     )
@@ -152,8 +158,8 @@ def percentiles(counts: DataFrame, keys: Sequence[str], probs: Sequence[tuple[st
     """(measure_name, keys, n, one column per probability) from the counts of quantised values.
 
     A percentile q is the least value whose cumulative count reaches ceil(q*n).
-    Ranges have fixed bounds in bins, so the counts are shuffled to them once
-    and every later step finds them in place. An empty input gives no rows; a
+    Ranges have fixed bounds in bins, so no sort by sampled bounds is needed, and
+    counts not yet added up may be given. An empty input gives no rows; a
     group of nulls only is absent.
     """
     names = ["measure_name", *keys]
