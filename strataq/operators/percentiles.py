@@ -144,7 +144,7 @@ def values_at_ranks(ranged: DataFrame, keys: Sequence[str], ranks: dict[str, Col
         F.coalesce(F.sum("_here").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         F.sum("_here").over(whole).alias("total"),
     )
-    on = F.col("_range") == F.col("_p")
+    on = F.col("_range").eqNullSafe(F.col("_p"))  # plain equality would push a filter below one use of the shuffle and not the other
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     reached = running.join(offsets, on).withColumn("_cum", F.col("_run") + F.col("_before"))
