@@ -1,12 +1,14 @@
 """A lexer for Go, JavaScript, TypeScript and Vue scripts that keeps what delimits declarations.
 
-Strings, templates, regular expressions and bracket pairs that close on their
-own line without anything of interest inside leave no token. What remains:
+It knows strings, templates, regular expressions and comments, and nothing of
+declarations: whether a line declares something, what its name is and what it
+belongs to is found over the rows. Tokens:
   o, c   an opening, a closing bracket
+  h      the first word of a line on which a declaration may begin
+  w      a word or sign after it, to the end of the line on which its parentheses close
+  O, C   brackets among those
   k      a comment; adjoining // lines are one
-  f, b   a function declaration, a const bound to a function
-  t      a class head
-  m      a name before a parenthesis, at the start of a line; at depth 1 of a class any word may name a method
+Bracket pairs that close on their own line leave no token elsewhere.
 """
 
 from __future__ import annotations
@@ -26,31 +28,33 @@ def language(file_name: str | None, code_language: str | None) -> str:
 
 
 _FLAT = r"[(\[{][^()\[\]{}\"'`/\n]*[)\]}]"
+_GO_TEXT = r"\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\n]|\\.)+'"
 _GO = re.compile(
-    r"(?P<f>\bfunc[ \t]+(?:\([ \t]*(?:\w+[ \t]+)?(?P<star>\*?)[ \t]*(?P<recv>\w+)[ \t]*(?P<args>\[[^\]\n]*\])?[ \t]*,?[ \t]*\)[ \t]*)?(?P<name>\w+)(?=[ \t]*[(\[]))"
+    r"(?:\A|(?<=\n))[ \t]*(?P<h>func\b)"
     r"|(?P<line>//[^\n]*(?:\n[ \t]*//[^\n]*)*)|(?P<block>/\*.*?(?:\*/|\Z))"
-    r"|\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\n]|\\.)+'"
-    rf"|(?P<e>\{{[^()\[\]{{}}\"'`/\n]*\}})|{_FLAT}|(?P<o>[(\[{{])|(?P<c>[)\]}}])",
+    rf"|{_GO_TEXT}|{_FLAT}|(?P<o>[(\[{{])|(?P<c>[)\]}}])",
     re.S,
 )
+#: Words that may stand before a declaration's name.
 _WORDS = r"(?:(?:public|private|protected|static|abstract|override|readonly|async|declare|accessor|get|set)[ \t]+)*"
+_SCRIPT_TEXT = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\$]|\\.|\$(?!\{)|\$\{[^{}`]*\})*`|(?P<tick>`)|(?P<slash>/)"
 _SCRIPT = re.compile(
     r"(?:\A|(?<=\n))[ \t]*(?:"
-    r"(?P<f>(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:async[ \t]+)?function\b[ \t]*\*?[ \t]*(?P<name>[\w$]+))"
-    r"|(?P<t>(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:abstract[ \t]+)?class\b(?:[ \t]+(?!extends\b|implements\b)(?P<cls>[\w$]+))?)"
-    r"|(?P<b>(?:export[ \t]+)?(?:declare[ \t]+)?const[ \t]+(?P<bound>[\w$]+)(?=[ \t]*[:=]))"
-    rf"|(?P<m>{_WORDS}\*?[ \t]*(?P<member>\#?[\w$]+)(?=\??[ \t]*(?:<[^(){{}};\n]*>)?\()))"
+    r"(?P<h>(?=(?:(?:export|default|declare|async|abstract)[ \t]+)*(?:(?:function|class)\b(?![ \t]*\()|const[ \t]+[\w$]+[ \t]*[:=](?=[^\n]*(?:=>|\bfunction\b|[=(\[{<,:|&][ \t\r]*(?:\n|\Z)))))[\w$]+)"
+    rf"|(?P<m>(?={_WORDS}\*?[ \t]*\#?[\w$]+\??[ \t]*(?:<[^(){{}};\n]*>)?\()[\w$#*]))"
     r"|(?P<line>//[^\n]*)|(?P<block>/\*.*?(?:\*/|\Z))"
-    r"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\$]|\\.|\$(?!\{)|\$\{[^{}`]*\})*`|(?P<tick>`)|(?P<slash>/)"
-    rf"|(?P<e>\{{[^()\[\]{{}}\"'`/\n]*\}})|{_FLAT}|(?P<o>[(\[{{])|(?P<c>[)\]}}])",
+    rf"|{_SCRIPT_TEXT}|(?P<e>\{{[^()\[\]{{}}\"'`/\n]*\}})|{_FLAT}|(?P<o>[(\[{{])|(?P<c>[)\]}}])",
     re.S,
 )
-_PAREN = r"\((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\)"
-_BOUND = re.compile(
-    r"[ \t]*(?::(?:[^=;]|=>)*?)?=(?![=>])\s*(?:async\b\s*)?(?:function\b|[\w$]+\s*=>|(?:<[^=;]*?>\s*)?" + _PAREN + r"\s*(?::[^;]*?)?\s*=>)", re.S
-)
+_SIGNS = r"(?P<nl>\n)|(?P<w>[\w$#]+|=>|[=!<>]=+|&&|\|\||\?\?|[^\w\s$#])"
+_GO_HEAD = re.compile(rf"(?P<line>//[^\n]*)|(?P<block>/\*.*?(?:\*/|\Z))|{_GO_TEXT}|(?P<o>[(\[{{])|(?P<c>[)\]}}])|{_SIGNS}", re.S)
+_SCRIPT_HEAD = re.compile(rf"(?P<line>//[^\n]*)|(?P<block>/\*.*?(?:\*/|\Z))|{_SCRIPT_TEXT}|(?P<o>[(\[{{])|(?P<c>[)\]}}])|{_SIGNS}", re.S)
+_MEMBER = re.compile(r"[\w$#]+|[^\w\s$#]")
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
-_BEFORE_REGEX = re.compile(r"(?:^|[(,=:\[!&|?{};+\-*%~^<>\n]|\b(?:return|typeof|case|in|of|do|else|void|delete|throw|new|await|yield))\s*\Z")
+#: Signs and words after which a slash begins a regular expression.
+_REGEX_AFTER = frozenset("(,=:[!&|?{};+-*%~^>")
+_REGEX_WORDS = frozenset(["return", "typeof", "case", "in", "of", "do", "else", "void", "delete", "throw", "new", "await", "yield"])
+_LAST_WORD = re.compile(r"[\w$]")
 _VUE_SCRIPT = re.compile(r"<!--.*?-->|<script\b[^>]*>(?P<code>.*?)</script\s*>", re.S | re.I)
 
 Token = tuple[int, int, int, int, str, str]  # first and last line, start, end, kind, text
@@ -83,83 +87,131 @@ def _own_line(body: str, at: int) -> bool:
     return not body[body.rfind("\n", 0, at) + 1 : at].strip()
 
 
+def _regex_may_begin(code: str, at: int) -> bool:
+    """Whether a slash at this place begins a regular expression: told by what stands before it, blanks and comments aside."""
+    i = at
+    while True:
+        while i and code[i - 1].isspace():
+            i -= 1
+        if not code.endswith("*/", 0, i):
+            break
+        i = max(0, code.rfind("/*", 0, i))
+    if not i:
+        return True
+    if code[i - 1] in _REGEX_AFTER:
+        return True
+    j = i
+    while j and _LAST_WORD.match(code[j - 1]):
+        j -= 1
+    return code[j:i] in _REGEX_WORDS
+
+
+class _Reader:
+    """Tokens of one text, with line numbers kept up as it is read."""
+
+    def __init__(self, code: str, base: int, line: int):
+        self.code, self.base, self.line, self.last, self.out = code, base, line, 0, []
+
+    def at(self, start: int) -> int:
+        self.line += self.code.count("\n", self.last, start)
+        self.last = start
+        return self.line
+
+    def add(self, start: int, end: int, kind: str, text: str) -> None:
+        line = self.at(start)
+        self.out.append((line, line, self.base + start, self.base + end, kind, text))
+
+    def comment(self, start: int, end: int) -> None:
+        line = self.at(start)
+        self.out.append((line, line + self.code.count("\n", start, end), self.base + start, self.base + end, "k", self.code[start:end]))
+
+    def skip(self, kind: str, start: int, end: int) -> int:
+        """The end of a template or regular expression; a slash that divides ends where it is."""
+        if kind == "tick":
+            return _template_end(self.code, start)
+        r = _REGEX.match(self.code, start)
+        return r.end() if r and _regex_may_begin(self.code, start) else end
+
+    def head(self, pattern: re.Pattern, end: int) -> int:
+        """Every token to the end of the line on which the parentheses open here are closed; also past a line that ends with =."""
+        deep, text = 0, ""
+        m = pattern.search(self.code, end)
+        while m:
+            kind, start, end = m.lastgroup, m.start(), m.end()
+            if kind == "nl":
+                if deep <= 0 and text != "=":
+                    return start
+            elif kind == "w":
+                text = m.group()
+                self.add(start, end, "w", text)
+            elif kind == "o" or kind == "c":
+                text = m.group()
+                deep += (text in "([") - (text in ")]")
+                self.add(start, end, kind.upper(), text)
+            elif kind == "tick" or kind == "slash":
+                end, text = self.skip(kind, start, end), ""
+            elif kind == "line" or kind == "block":
+                if kind == "block" and _own_line(self.code, start):
+                    self.comment(start, end)
+            else:
+                text = ""
+            m = pattern.search(self.code, end)
+        return len(self.code)
+
+
 def lex_go(body: str) -> list[Token]:
-    out: list[Token] = []
-    line, last, head, search, count = 1, 0, -1, _GO.search, body.count
-    m = search(body)
+    r = _Reader(body, 0, 1)
+    m = _GO.search(body)
     while m:
         kind, start, end = m.lastgroup, m.start(), m.end()
-        if kind == "e":  # a pair in one piece counts only where it may be a body, beside a head
-            if head >= 0 and body.find("\n", head, start) < 0:
-                line += count("\n", last, start)
-                last = start
-                out += [(line, line, start, start + 1, "o", "{"), (line, line, end - 1, end, "c", "}")]
-            else:
-                head = -1
+        if kind == "c" or kind == "o":
+            r.add(start, end, kind, m.group())
+        elif kind == "h":
+            r.add(m.start("h"), end, "h", "func")
+            end = r.head(_GO_HEAD, end)
         elif kind is not None:
-            line += count("\n", last, start)
-            last = start
-            if kind == "c" or kind == "o":
-                out.append((line, line, start, end, kind, m.group()))
-            elif kind == "name" or kind == "f":
-                name, recv = m.group("name"), m.group("recv")
-                if recv:
-                    name = f"({m.group('star')}{recv}{m.group('args') or ''}).{name}"
-                if _own_line(body, start):
-                    out.append((line, line, start, end, "f", name))
-                    head = end
-            else:
-                if not _own_line(body, start):  # a remark on code; // lines below it stand for themselves
-                    cut = body.find("\n", start, end) if kind == "line" else end
-                    start = end if cut < 0 else cut + 1
-                if start < end:
-                    first = line + count("\n", last, start)
-                    out.append((first, first + count("\n", start, end), start, end, "k", body[start:end]))
-        m = search(body, end)
-    return out
+            if not _own_line(body, start):  # a remark on code; // lines below it stand for themselves
+                cut = body.find("\n", start, end) if kind == "line" else end
+                start = end if cut < 0 else cut + 1
+            if start < end:
+                r.comment(start, end)
+        m = _GO.search(body, end)
+    return r.out
 
 
 def lex_script(body: str, base: int = 0, stop: int | None = None) -> list[Token]:
-    out: list[Token] = []
     code = body if stop is None else body[base:stop]
-    line, last, head, search, count = 1 + (body.count("\n", 0, base) if base else 0), 0, -1, _SCRIPT.search, code.count
-    m = search(code)
+    r = _Reader(code, base, 1 + (body.count("\n", 0, base) if base else 0))
+    member = -1
+    m = _SCRIPT.search(code)
     while m:
         kind, start, end = m.lastgroup, m.start(), m.end()
-        if kind == "e":
-            if head >= 0 and code.find("\n", head, start) < 0:
-                line += count("\n", last, start)
-                last = start
-                out += [(line, line, base + start, base + start + 1, "o", "{"), (line, line, base + end - 1, base + end, "c", "}")]
+        if kind == "o" or kind == "c":
+            r.add(start, end, kind, m.group())
+        elif kind == "e":  # a pair in one piece counts only where it may be a method's body
+            if member >= 0 and code.find("\n", member, start) < 0:
+                r.add(start, start + 1, "o", "{")
+                r.add(end - 1, end, "c", "}")
             else:
-                head = -1
-        elif kind is not None:
-            line += count("\n", last, start)
-            last = start
-            if kind == "o" or kind == "c":
-                out.append((line, line, base + start, base + end, kind, m.group()))
-            elif kind == "m" or kind == "member":
-                out.append((line, line, base + start, base + end, "m", m.group("member")))
-                head = end
-            elif kind == "line" or kind == "block":
-                if _own_line(code, start):
-                    out.append((line, line + count("\n", start, end), base + start, base + end, "k", code[start:end]))
-            elif kind == "f" or kind == "name":
-                out.append((line, line, base + start, base + end, "f", m.group("name")))
-                head = end
-            elif kind == "t" or kind == "cls":
-                out.append((line, line, base + start, base + end, "t", m.group("cls") or ""))
-            elif kind == "b" or kind == "bound":
-                if _BOUND.match(code, end):
-                    out.append((line, line, base + start, base + end, "b", m.group("bound")))
-            elif kind == "tick":
-                end = _template_end(code, start)
-            elif kind == "slash":
-                r = _REGEX.match(code, start)
-                if r and _BEFORE_REGEX.search(code[max(0, start - 24) : start]):
-                    end = r.end()
-        m = search(code, end)
-    return out
+                member = -1
+        elif kind == "h":
+            r.add(m.start("h"), end, "h", m.group("h"))
+            end = r.head(_SCRIPT_HEAD, end)
+        elif kind == "m":  # words up to the parenthesis, which is read again as a bracket
+            at, mark = m.start("m"), "h"
+            for x in _MEMBER.finditer(code, at):
+                r.add(x.start(), x.end(), mark, x.group())
+                mark, end = "w", x.start()
+                if x.group() == "(":
+                    break
+            member = end
+        elif kind == "line" or kind == "block":
+            if _own_line(code, start):
+                r.comment(start, end)
+        elif kind == "tick" or kind == "slash":
+            end = r.skip(kind, start, end)
+        m = _SCRIPT.search(code, end)
+    return r.out
 
 
 def lex(body: str | None, file_name: str | None, code_language: str | None) -> list[Token]:

@@ -184,13 +184,14 @@ def test_code_of_pairs(spark):
     [
         ("// TODO", "F"), ("// FIXME: write this comment", "F"), ("/** */", "f"), ("//", "F"), ("// =====\n// -----", "F"), ("// ===== store =====", "F"), ("// LoadItem ...", "LoadItem"), ("// load item", "(*T).LoadItem"),
         ("//go:noinline", "F"), ("//nolint:funlen", "F"), ("/** @internal */", "f"), ("/**\n * @param a\n * @returns {number}\n */", "f"), ("// x.Do(y)\n// return nil, z", "F"), ("/** constructor */", "C.constructor"), ("// TBD", "F"), ("// N/A", "F"), ("// XXX\r", "F"),
+        ("// Loads the item", "LoadItem"), ("// TallyRoute tallies the routes.", "TallyRoute"), ("/** Hashes the voucher. */", "Cache.hashVoucher"), ("// Trimmed the window", "trimWindow"), ("// Adds to the set", "(*Set).Add"),
     ],
 )
 def test_trivial(doc, element):
     assert is_trivial(doc, element)
 
 
-@pytest.mark.parametrize("doc, element", [("// Loads the item", "LoadItem"), ("// F adds.\n//\n//nolint:funlen", "F"), ("/** Adds.\n * @returns {number} */", "add"), ("// TODO: the caller has to hold the lock while this runs", "F"), ("// Returns nil if the name is unknown.", "F"), ("// größer als null", "F")])
+@pytest.mark.parametrize("doc, element", [("// Loads the items of one day", "LoadItem"), ("// init packs the shard.", "init"), ("// F adds.\n//\n//nolint:funlen", "F"), ("/** Adds.\n * @returns {number} */", "sum"), ("// TODO: the caller has to hold the lock while this runs", "F"), ("// Returns nil if the name is unknown.", "F"), ("// größer als null", "F")])
 def test_not_trivial(doc, element):
     assert not is_trivial(doc, element)
 
@@ -207,4 +208,36 @@ def test_placeholders_with_a_verb(doc):
 
 def test_languages():
     assert [language(n, c) for n, c in (("a.GO", None), ("a.mjs", None), ("a.vue", "x"), ("noext", " typescript "), ("a.rs", "Rust"), (None, None))] == [GO, SCRIPT, VUE, SCRIPT, OTHER, OTHER]
-    assert lex("func f() {}", "a.go", None)[0][5] == "f"
+    assert [t[4] + t[5] for t in lex("func f() {}", "a.go", None)] == ["hfunc", "wf", "O(", "C)", "O{", "C}"]
+
+
+def test_a_row_delivered_again_counts_once(spark):
+    rows = [(1, "a.ts", None, TS_FILE, "x", "y", 0, "m")] * 2 + [(1, "a.go", None, GO_FILE, "x", "y", 0, "m")]
+    got = documented(spark.createDataFrame(rows, FILES)).collect()
+    assert sorted(r["element_name"] for r in got) == sorted(["add", "hello", "old", "one", "Store.constructor", "Store.all", "Store.put", "last", "F", "(*Tree[K, V]).G", "(T).H", "J", "(*T).M"])
+
+
+SCRIPT_HEADS = [
+    ("/** Takes many things in. */\nconst deep = (a = ((((((b)))))), { c, d }: { c: any; d: Array<string> }) => c\n", "deep"),
+    ("/** Parted over lines. */\nexport const parted = (\n  a: number,\n  b = wrap(1),\n): Promise<void> => {\n  a()\n}\n", "parted"),
+    ("/** Typed as a function. */\nconst typed: (a: number) => void = async (a) => { a }\n", "typed"),
+    ("/** Begins on the next line. */\nconst late =\n  function* () { return 1 }\n", "late"),
+    ("/** Generic in its types. */\nconst generic = <T extends { a: 1 }>(x: T): T => x\n", "generic"),
+    ("/** Divides by a long name. */\nconst half = a / " + "x" * 40 + " / 2\n/** Looks for brackets. */\nfunction look(s) { return     /* a comment that is long enough */     /[({]/.test(s) }\n", "look"),
+]
+
+
+@pytest.mark.parametrize("body, name", SCRIPT_HEADS)
+def test_heads_of_scripts(spark, body, name):
+    tail = "/** Comes after it all. */\nfunction after() {}\n"
+    assert [n for _, n in found(spark, "a.ts", body + tail)] == [name, "after"]
+
+
+@pytest.mark.parametrize("body", ["/** No function here. */\nconst a = cond ? (x) => 1 : y\n", "/** Nor in a call. */\nconst b = memo(() => {\n  go()\n})\n", "/** Nor a group. */\nconst c = (a + b)\n", "class\nA\n{\n  /** Field of it, no more. */\n  x: (a) => void\n}\n"])
+def test_no_heads(spark, body):
+    assert found(spark, "a.ts", body) == []
+
+
+def test_class_heads(spark):
+    body = "abstract class A\n  extends B<{ x: 1 }>\n{\n  /** Counts what is there. */\n  protected abstract count<K extends { a: string }>(x: K): number;\n  /** Walks all of them. */\n  async *walk() { yield 1 }\n}\nif (a) {\n  /** Not a method at all. */\n  call(a)\n}\n"
+    assert [n for _, n in found(spark, "a.ts", body)] == ["A.count", "A.walk"]
