@@ -48,7 +48,7 @@ def tokens(files: DataFrame) -> DataFrame:
 def _with_depth(rows: DataFrame) -> DataFrame:
     """Tokens with depth (of brackets around them), island (number of the head they belong to), head_depth and
     owner (the top-level class around them, or ''). The tokens of a row delivered again count once."""
-    w = Window.partitionBy(*DELIVERY).orderBy("pos")
+    w = Window.partitionBy(*DELIVERY).orderBy("pos", F.desc("kind"))  # a parenthesis is a sign of its head, then a bracket
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     kind, text = F.col("kind"), F.col("text")
     again = (F.lag("pos").over(w) == F.col("pos")) & (F.lag("kind").over(w) == kind)
