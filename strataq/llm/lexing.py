@@ -41,7 +41,7 @@ _SCRIPT_TEXT = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\$]|\\.|\$(?
 _SCRIPT = re.compile(
     r"(?:\A|(?<=\n))[ \t]*(?:"
     r"(?P<h>(?=(?:(?:export|default|declare|async|abstract)[ \t]+)*(?:(?:function|class)\b(?![ \t]*\()|const[ \t]+[\w$]+[ \t]*(?=[:=])[^\n]*(?:=>|\bfunction\b|[=(\[{<,:|&][ \t\r]*(?:\n|\Z))))[\w$]+)"
-    rf"|(?P<m>(?={_WORDS}\*?[ \t]*\#?[\w$]+\??[ \t]*(?:<[^(){{}};\n]*>)?\()[\w$#*]))"
+    rf"|(?P<m>(?={_WORDS}\*?[ \t]*\#?[\w$]+\??[ \t]*(?:<[^();\n]*>)?\()[\w$#*]))"
     r"|(?P<line>//[^\n]*)|(?P<block>/\*.*?(?:\*/|\Z))"
     rf"|{_SCRIPT_TEXT}|(?P<e>\{{[^()\[\]{{}}\"'`/\n]*\}})|{_FLAT}|(?P<o>[(\[{{])|(?P<c>[)\]}}])",
     re.S,
