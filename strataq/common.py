@@ -6,11 +6,13 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _STASHED: list[tuple[SparkSession, str]] = []
+_MADE: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests, one machine)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset a local one, in local mode only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = os.path.join(tempfile.gettempdir(), f"strataq-shared-{os.getuid()}")
         os.makedirs(where, exist_ok=True)
         where = f"file://{where}"
@@ -42,15 +46,56 @@ def stash(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target, fs = _file_system(spark, path)
+    fs.delete(target, True)
+
+
+def drop_stash(df: DataFrame) -> None:
+    """Remove the written intermediates df reads; everything that reads them must be done."""
+    files = df.inputFiles()
+    for spark, path in [x for x in _STASHED if any(x[1].removeprefix("file://") in f for f in files)]:
+        _STASHED.remove((spark, path))
+        _delete(spark, path)
+    for key in [k for k, (_, made) in _MADE.items() if made is df]:
+        del _MADE[key]
+
+
 @atexit.register
-def _drop_stashed() -> None:
-    for spark, path in _STASHED:
-        try:
-            jvm = spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone already
-            return
+def _drop_all() -> None:
+    try:
+        for spark, path in _STASHED:
+            _delete(spark, path)
+    except Exception:  # the session may be gone already
+        return
+
+
+def once(source: DataFrame, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() wrote the last time for the same plan over the same, unchanged files in this session, else make().
+
+    Only plans over files are kept; a file's time of change and size tell whether it is the same.
+    """
+    spark = source.sparkSession
+    files = source.inputFiles()
+    if not files:
+        return make()
+    states = []
+    for f in files:
+        target, fs = _file_system(spark, f)
+        status = fs.getFileStatus(target)
+        states.append((f, status.getModificationTime(), status.getLen()))
+    key = (spark.sparkContext.applicationId, name, source.semanticHash(), tuple(states))
+    kept = _MADE.get(key)
+    if kept is not None and kept[0].sameSemantics(source):
+        return kept[1]
+    made = make()
+    _MADE[key] = (source, made)
+    return made
 
 
 def tasks(spark: SparkSession) -> int:

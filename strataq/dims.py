@@ -62,22 +62,16 @@ DELTA_PROPERTIES = {"unit_size": ("loc", 15), "unit_complexity": ("mccabe", 5),
 
 MODULE_METRICS = ["coupling", "duplication"]
 
-SQL_METHODS = (
-    "Find First Last Take Scan Pluck Count Create CreateInBatches Save Update Updates Delete FirstOrCreate FirstOrInit "
-    "Exec ExecContext Query QueryContext QueryRow QueryRowContext Raw"
-).split()
-SQL_RECEIVERS = "db tx gdb conn pool".split()
-SQL_CHAIN_METHODS = (
-    "Where Or Not Table Select Omit Distinct Joins Preload Order Limit Offset Group Having Model Clauses Unscoped WithContext "
-    "Session Debug Attrs Assign InnerJoins MapColumn"
-).split()
-EXCLUDE_DIRS = "gen migrations seed .disabled-gen vendor testdata".split()
+SQL_METHODS = ["Find", "First", "Last", "Take", "Scan", "Pluck", "Count", "Create", "CreateInBatches", "Save", "Update", "Updates", "Delete", "FirstOrCreate", "FirstOrInit", "Exec", "ExecContext", "Query", "QueryContext", "QueryRow", "QueryRowContext", "Raw"]
+SQL_RECEIVERS = ["db", "tx", "gdb", "conn", "pool"]
+SQL_CHAIN_METHODS = ["Where", "Or", "Not", "Table", "Select", "Omit", "Distinct", "Joins", "Preload", "Order", "Limit", "Offset", "Group", "Having", "Model", "Clauses", "Unscoped", "WithContext", "Session", "Debug", "Attrs", "Assign", "InnerJoins", "MapColumn"]
+EXCLUDE_DIRS = ["gen", "migrations", "seed", ".disabled-gen", "vendor", "testdata"]
 DEBUG_EXCLUDE_DIRS = ["cmd"]
-SKIP_DIRS = "node_modules .nuxt .output dist coverage generated playwright-report test-results .git".split()
+SKIP_DIRS = ["node_modules", ".nuxt", ".output", "dist", "coverage", "generated", "playwright-report", "test-results", ".git"]
 URL_ALLOWLIST = ["w3.org", "rfc-editor.org", "datatracker.ietf.org"]
-RESERVED_TLDS = "test example invalid localhost".split()
-RESERVED_DOMAINS = "example.com example.net example.org".split()
-FILESYSTEM_ROOTS = "etc var tmp usr opt home root proc sys dev mnt srv app run".split()
+RESERVED_TLDS = ["test", "example", "invalid", "localhost"]
+RESERVED_DOMAINS = ["example.com", "example.net", "example.org"]
+FILESYSTEM_ROOTS = ["etc", "var", "tmp", "usr", "opt", "home", "root", "proc", "sys", "dev", "mnt", "srv", "app", "run"]
 
 #: Regular expressions over text, in Java's syntax; words end where an ASCII letter, digit or _ does not go on.
 URL_PATTERN = r"""(?<![0-9A-Za-z_])[a-zA-Z][a-zA-Z0-9+.\-]*://[^\s"'<>)\\]+"""
@@ -89,6 +83,7 @@ NOTICE = r"(?i)(?<![0-9A-Za-z_])copyright(?![0-9A-Za-z_])\s*(\(c\)|©|\d{4})|(?<
 UNFINISHED = r"(?<![0-9A-Za-z_])(TODO|FIXME|XXX|HACK)(?![0-9A-Za-z_])"
 SUPPRESSION = r"^//\s*(nolint|lint:ignore)(?![0-9A-Za-z_])"
 GENERATED_MARKER = r"^// Code generated .* DO NOT EDIT\.$"
+GENERATED_WORDS = "// Code generated "
 
 # Duplicate declarations
 MIN_VALUE_LENGTH, MIN_FIELDS, MIN_PACKAGES = 4, 4, 4

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 
 from strataq.frontend.golexer import GoSyntaxError, Lexed, normalised_lines
 from strataq.frontend.goparser import N, parse, parses_as_body
@@ -16,7 +17,7 @@ FACTS = {
     "units": "element string, line int, tokens int, params int, complexity int, loc int, mccabe int, has_body boolean",
     "imports": "local_name string, path string, line int",
     "decls": "name string, word string, seq int",
-    "refs": "decl int, qualifier string, name string, line int",
+    "refs": "qualifier string, name string, refs int",
     "locals": "decl int, name string",
     "literals": "element string, line int, value string",
     "comments": "grp int, line int, text string, element string, own_line boolean, code boolean, block_code string",
@@ -32,7 +33,7 @@ FACTS = {
 SCHEMA = "package string, package_line int, loc int, error string, " + ", ".join(f"{k} array<{'string' if v == 'string' else f'struct<{', '.join(c.replace(' ', ': ', 1) for c in v.split(', '))}>'}>" for k, v in FACTS.items())
 
 #: Calls whose result is a string.
-STRING_PRODUCERS = frozenset("Sprint Sprintf Sprintln Join Repeat String ToLower ToUpper TrimSpace".split())
+STRING_PRODUCERS = frozenset(["Sprint", "Sprintf", "Sprintln", "Join", "Repeat", "String", "ToLower", "ToUpper", "TrimSpace"])
 #: Fixed value: what a line of code looks like in a comment.
 CODE_SHAPE = re.compile(r":=|^(?:if|for|switch|select|return|var|const|go|defer|func|case|break|continue)\b|^[}{]|\{$|^\w+(?:\.\w+)+\(|^\w+ = (?:\"|`|\w+[.(\[])", re.A)
 SUMMARY = 90  # bytes of a comment or block that a description shows
@@ -60,11 +61,17 @@ def element_of(src: str, d: N) -> str:
 
 def mccabe(d: N) -> int:
     """One, and one per way on: branches, loops, cases that are not default, && and ||."""
+    return _mccabe(d, d.nodes())
+
+
+def _mccabe(d: N, nodes: list[N]) -> int:
     if d.body is None:
         return 0
     n = 1
-    for x in d.walk():
+    for x in nodes:
         k = x.kind
+        if k == "Ident":
+            continue
         n += k in ("If", "For", "Range") or k == "Case" and x.values is not None or k == "Comm" and x.comm is not None or k == "Binary" and x.op in ("&&", "||")
     return n
 
@@ -139,7 +146,7 @@ def cognitive(d: N) -> int:
     return total
 
 
-def _local_names(d: N) -> set[str]:
+def _local_names(d: N, nodes: list[N]) -> set[str]:
     """Names bound anywhere in a function; a binding hides a name in all of it."""
     out: set[str] = set()
 
@@ -147,7 +154,9 @@ def _local_names(d: N) -> set[str]:
         out.update(n.name for f in fs or [] for n in f.names)
 
     fields(d.recv), fields(d.params), fields(d.results)
-    for x in d.body.walk() if d.body else ():
+    for x in nodes if d.body else ():
+        if x.kind == "Ident":
+            continue
         if x.kind == "Assign" and x.op == ":=":
             out.update(e.name for e in x.left if e.kind == "Ident")
         elif x.kind == "Range" and x.op == ":=":
@@ -162,17 +171,17 @@ def _local_names(d: N) -> set[str]:
     return out
 
 
-def _references(root: N) -> list[tuple[str | None, str, int]]:
-    """(qualifier, name, pos) of every name that may refer to a declaration. Keys, labels and field names do not."""
+def _references(root: N) -> list[tuple[str | None, str]]:
+    """(qualifier, name) of every name that may refer to a declaration. Keys, labels and field names do not."""
     out, todo = [], [root]
     while todo:
         x = todo.pop()
         k = x.kind
         if k == "Ident":
-            out.append((None, x.name, x.pos))
+            out.append((None, x.name))
         elif k == "Selector":
             if x.x.kind == "Ident":
-                out.append((x.x.name, x.sel.name, x.pos))
+                out.append((x.x.name, x.sel.name))
             else:
                 todo.append(x.x)
         elif k == "KeyValue":
@@ -196,9 +205,9 @@ def _produces_string(e: N) -> bool:
     return False
 
 
-def _string_names(d: N) -> set[str]:
+def _string_names(nodes: list[N]) -> set[str]:
     out: set[str] = set()
-    for x in d.walk():
+    for x in nodes:
         if x.kind == "ValueSpec":
             if x.type is not None and x.type.kind == "Ident" and x.type.name == "string":
                 out.update(n.name for n in x.names)
@@ -241,15 +250,19 @@ class _Facts:
         src, line, out = self.src, self.line, self.out
         ranges: list[tuple[int, int, str]] = []
         functions: list[tuple[int, int, str]] = []
+        free: Counter = Counter()
         for seq, d in enumerate(self.tree.decls):
+            bound: set[str] = set()
             if d.kind == "FuncDecl":
                 element = element_of(src, d)
                 ranges.append((d.pos, d.end, element))
                 functions.append(ranges[-1])
-                self.function(d, element)
+                nodes = d.nodes()
+                self.function(d, element, nodes)
                 if d.recv is None:
                     out["decls"].append((d.name.name, "func", seq))
-                out["locals"] += [(seq, n) for n in sorted(_local_names(d))]
+                bound = _local_names(d, nodes)
+                out["locals"] += [(seq, n) for n in sorted(bound)]
                 if d.name.name[:1].isupper():
                     out["exported"].append((element, line(d.pos), "method" if d.recv is not None else "function", d.name.name, self.documented(d.pos), self.receiver_exported(d)))
             else:
@@ -266,7 +279,8 @@ class _Facts:
                     out["decls"] += [(n.name, d.word, seq) for n in names]
                     if names[0].name[:1].isupper():
                         out["exported"].append((names[0].name, line(s.pos), d.word, names[0].name, self.documented(d.pos) or d.grouped and self.documented(s.pos), True))
-            out["refs"] += [(seq, q, n, line(p)) for q, n, p in _references(d)]
+            free.update((q, n) for q, n in _references(d) if (n if q is None else q) not in bound)
+        out["refs"] = [(q, n, k) for (q, n), k in free.items()]
         self.literals(functions)
         self.comment_rows(ranges)
         out["lines"] = normalised_lines(self.lex)
@@ -281,12 +295,12 @@ class _Facts:
         t = t.x if t.kind == "Index" else t
         return t.kind == "Ident" and t.name[:1].isupper()
 
-    def function(self, d: N, element: str) -> None:
+    def function(self, d: N, element: str, nodes: list[N]) -> None:
         out, line, lex = self.out, self.line, self.lex
         written = lex.written(d.pos, d.end)
-        lines = {line(t.pos) for t in written}
-        out["units"].append((element, line(d.pos), len(written), count_params(d), cognitive(d), len(lines), mccabe(d), d.body is not None))
-        for x in d.walk():
+        lines = {t.line for t in written}
+        out["units"].append((element, line(d.pos), len(written), count_params(d), cognitive(d), len(lines), _mccabe(d, nodes), d.body is not None))
+        for x in nodes:
             if x.kind == "Call":
                 f = x.fun
                 if f.kind == "Ident":
@@ -298,7 +312,7 @@ class _Facts:
             elif x.kind in ("Switch", "TypeSwitch") and d.body is not None:
                 self.switch(x, element)
         if d.body is not None:
-            self.loops(d, element)
+            self.loops(d, element, nodes)
 
     def switch(self, x: N, element: str) -> None:
         tag = "type"
@@ -316,8 +330,10 @@ class _Facts:
                 commented = commented or any(c.colon < k.pos < end for k in self.lex.comments)
         self.out["switches"].append((element, self.line(x.pos), "switch" if x.kind == "Switch" else "type switch", tag, has_default, commented))
 
-    def loops(self, d: N, element: str) -> None:
-        out, line, strings = self.out, self.line, _string_names(d)
+    def loops(self, d: N, element: str, nodes: list[N]) -> None:
+        if not any(x.kind in ("For", "Range") for x in nodes):
+            return
+        out, line, strings = self.out, self.line, _string_names(nodes)
         seq = [0]
 
         def visit(x: N, depth: int, cursors: tuple[str, ...]) -> None:
@@ -346,15 +362,11 @@ class _Facts:
         visit(d.body, 0, ())
 
     def literals(self, ranges: list[tuple[int, int, str]]) -> None:
-        skip: list[tuple[int, int]] = []
-        for x in self.tree.walk():
-            if x.kind == "Field" and getattr(x, "tag", None) is not None:
-                skip.append((x.tag.pos, x.tag.pos))
-        tags = {a for a, _ in skip}
+        tags = {x.tag.pos for x in self.tree.nodes() if x.kind == "Field" and getattr(x, "tag", None) is not None}
         imports = {t for d in self.tree.decls if d.kind == "GenDecl" and d.word == "import" for t in range(d.pos, d.end)}
         for t in self.lex.tokens:
             if t.kind == "string" and t.pos not in tags and t.pos not in imports:
-                self.out["literals"].append((self.enclosing(ranges, t.pos), self.line(t.pos), unquote(t.text)))
+                self.out["literals"].append((self.enclosing(ranges, t.pos), t.line, unquote(t.text)))
 
     @staticmethod
     def enclosing(ranges: list[tuple[int, int, str]], pos: int) -> str | None:
@@ -399,7 +411,7 @@ def go_facts(src: str | None) -> dict:
     empty = {k: [] for k in FACTS}
     try:
         f = _Facts(src or "")
-        return {"package": f.tree.package.name, "package_line": f.line(f.tree.package.pos), "loc": len({f.line(t.pos) for t in f.lex.written()}), "error": None, **f.collect()}
+        return {"package": f.tree.package.name, "package_line": f.line(f.tree.package.pos), "loc": len({t.line for t in f.lex.written()}), "error": None, **f.collect()}
     except GoSyntaxError as e:
         return {"package": None, "package_line": None, "loc": None, "error": str(e), **empty}
     except RecursionError:

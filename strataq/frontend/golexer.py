@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from typing import NamedTuple
 
 
@@ -15,6 +15,7 @@ class Token(NamedTuple):
     kind: str  # name, keyword, int, float, imag, char, string, op, eof
     text: str
     pos: int
+    line: int
 
 
 class Comment(NamedTuple):
@@ -27,13 +28,13 @@ class Comment(NamedTuple):
 
 
 #: The language's keywords.
-KEYWORDS = frozenset("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split())
+KEYWORDS = frozenset(["break", "case", "chan", "const", "continue", "default", "defer", "else", "fallthrough", "for", "func", "go", "goto", "if", "import", "interface", "map", "package", "range", "return", "select", "struct", "switch", "type", "var"])
 _SCAN = re.compile(
-    r"(?P<blank>[ \t\r]+)|(?P<nl>\n)|(?P<line>//[^\n]*)|(?P<block>/\*.*?\*/)"
+    r"[ \t\r]*(?:(?P<nl>\n)|(?P<line>//[^\n]*)|(?P<block>/\*.*?\*/)"
     r"|(?P<name>[^\W\d]\w*)"
     r"|(?P<num>0[xX][0-9a-fA-F_]*(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?[0-9_]+)?i?|0[bB][01_]+i?|0[oO][0-7_]+i?|(?:[0-9][0-9_]*(?:\.[0-9_]*)?|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9_]+)?i?)"
     r"|(?P<string>\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`)|(?P<char>'(?:[^'\\\n]|\\[^\n][^'\n]*)')"
-    r"|(?P<op><<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[+\-*/%&|^<>=!()\[\]{},;.:~])",
+    r"|(?P<op><<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[+\-*/%&|^<>=!()\[\]{},;.:~])|(?P<end>\Z))",
     re.S,
 )
 _ENDS = frozenset("break continue fallthrough return ++ -- ) ] }".split())
@@ -47,58 +48,68 @@ class Lexed:
         self.starts = [0, *(m.end() for m in re.finditer("\n", src))]
         self.tokens: list[Token] = []
         self.comments: list[Comment] = []
-        at, n, ends, group, last_token_line = 0, len(src), False, -1, 0
-        tokens, previous = self.tokens, None
+        at, n, ends, group, last_token_line, line, written = 0, len(src), False, -1, 0, 1, 0
+        tokens, previous, scan, make = self.tokens, None, _SCAN.match, tuple.__new__
         while at < n:
-            m = _SCAN.match(src, at)
+            m = scan(src, at)
             if m is None:
-                raise GoSyntaxError(f"unexpected {src[at]!r} at line {self.line(at)}")
-            kind, text, pos, at = m.lastgroup, m.group(), at, m.end()
-            if kind == "blank":
-                continue
-            if kind == "nl" or (kind in ("line", "block") and ends and (kind == "line" or "\n" in text)):
+                raise GoSyntaxError(f"unexpected {src[at:].lstrip()[:1]!r} at line {self.line(at)}")
+            kind = m.lastgroup
+            pos, at = m.span(kind)
+            if kind == "nl":
                 if ends:
-                    tokens.append(Token("op", "\n", pos))
+                    tokens.append(make(Token, ("op", "\n", pos, line)))
                     ends = False
-                if kind == "nl":
-                    continue
-            if kind in ("line", "block"):
-                line = self.line(pos)
-                last = line + text.count("\n")
-                trailing = bool(tokens) and last_token_line == line
-                if previous is None or previous[0] != self._count(tokens) or line > previous[1] + 1 or (previous[2] and line > previous[1]):
+                line += 1
+                continue
+            text = src[pos:at]
+            if kind == "name":
+                if text in KEYWORDS:
+                    kind, ends = "keyword", text in _ENDS
+                else:
+                    ends = True
+            elif kind == "op":
+                ends = text in _ENDS
+            elif kind == "line" or kind == "block":
+                last = line + (text.count("\n") if kind == "block" else 0)
+                if ends and (kind == "line" or last > line):
+                    tokens.append(make(Token, ("op", "\n", pos, line)))
+                    ends = False
+                trailing = written > 0 and last_token_line == line
+                if previous is None or previous[0] != written or line > previous[1] + 1 or (previous[2] and line > previous[1]):
                     group += 1
                 self.comments.append(Comment(text.rstrip("\r"), pos, line, last, not src[self.starts[line - 1] : pos].strip(), group))
-                previous = (self._count(tokens), last, trailing)
+                previous, line = (written, last, trailing), last
                 continue
-            if kind == "name":
-                kind = "keyword" if text in KEYWORDS else "name"
-            elif kind == "num":
-                kind = "imag" if text[-1] == "i" else "float" if re.search(r"\.|[eE](?!.*[xX])|[pP]", text if text[:2].lower() != "0x" else re.sub(r"[eE]", "", text)) else "int"
-            tokens.append(Token(kind, text, pos))
-            last_token_line = self.line(pos) + (text.count("\n") if kind == "string" else 0)
-            ends = kind in ("name", "int", "float", "imag", "char", "string") or text in _ENDS
+            elif kind == "end":
+                break
+            else:
+                ends = True
+                if kind == "num":
+                    kind = "imag" if text[-1] == "i" else "float" if re.search(r"\.|[eE](?!.*[xX])|[pP]", text if text[:2].lower() != "0x" else re.sub(r"[eE]", "", text)) else "int"
+            tokens.append(make(Token, (kind, text, pos, line)))
+            written += 1
+            if kind == "string" and text[0] == "`":
+                line += text.count("\n")
+            last_token_line = line
         if ends:
-            tokens.append(Token("op", "\n", n))
-        tokens.append(Token("eof", "", n))
-
-    @staticmethod
-    def _count(tokens: list[Token]) -> int:
-        """Tokens that were written; implied semicolons do not part comments."""
-        n = len(tokens)
-        return n - 1 if n and tokens[-1].text == "\n" and tokens[-1].kind == "op" else n
+            tokens.append(Token("op", "\n", n, line))
+        tokens.append(Token("eof", "", n, line))
+        self._positions = [t.pos for t in tokens]
 
     def line(self, pos: int) -> int:
         return bisect_right(self.starts, pos)
 
     def written(self, start: int = 0, end: int | None = None) -> list[Token]:
         """Tokens of a span that stand in the text."""
-        return [t for t in self.tokens if t.pos >= start and (end is None or t.pos < end) and t.kind != "eof" and t.text != "\n"]
+        first = bisect_left(self._positions, start)
+        last = len(self.tokens) if end is None else bisect_left(self._positions, end)
+        return [t for t in self.tokens[first:last] if t.text != "\n" and t.kind != "eof"]
 
 
 def normalised_lines(lexed: Lexed) -> list[str]:
     """Per line on which a token starts, its tokens' texts joined by a blank."""
     by_line: dict[int, list[str]] = {}
     for t in lexed.written():
-        by_line.setdefault(lexed.line(t.pos), []).append(t.text)
+        by_line.setdefault(t.line, []).append(t.text)
     return [" ".join(by_line[k]) for k in sorted(by_line)]

@@ -17,15 +17,21 @@ class N:
 
     def __init__(self, kind: str, pos: int, end: int, kids: list, **parts: Any):
         self.kind, self.pos, self.end = kind, pos, end
-        self.kids = [k for k in kids if k is not None]
-        self.__dict__.update(parts)
+        self.kids = [k for k in kids if k is not None] if None in kids else kids
+        self.__dict__ = parts
 
     def walk(self) -> Iterator["N"]:
-        todo = [self]
+        return iter(self.nodes())
+
+    def nodes(self) -> list["N"]:
+        """The node and all below it, in source order."""
+        out, todo = [], [self]
         while todo:
             n = todo.pop()
-            yield n
-            todo.extend(reversed(n.kids))
+            out.append(n)
+            if n.kids:
+                todo.extend(n.kids[::-1])
+        return out
 
 
 #: Binary operators by how tightly they bind.
@@ -37,17 +43,18 @@ _LITERALS = frozenset(("int", "float", "imag", "char", "string"))
 class Parser:
     def __init__(self, lexed: Lexed):
         self.lexed, self.toks, self.i, self.level = lexed, lexed.tokens, 0, 0
+        self.kinds = [t.kind for t in self.toks]
+        self.signs = [t.text if t.kind in ("op", "keyword") else "" for t in self.toks]
 
     # --- tokens
 
     @property
     def text(self) -> str:
-        t = self.toks[self.i]
-        return t.text if t.kind in ("op", "keyword") else ""
+        return self.signs[self.i]
 
     @property
     def kind(self) -> str:
-        return self.toks[self.i].kind
+        return self.kinds[self.i]
 
     @property
     def pos(self) -> int:
@@ -69,7 +76,7 @@ class Parser:
         return self.toks[self.i - 1].pos
 
     def got(self, text: str) -> bool:
-        if self.text == text:
+        if self.signs[self.i] == text:
             self.i += 1
             return True
         return False
@@ -398,7 +405,7 @@ class Parser:
     def expression(self, least: int = 1) -> N:
         left = self.unary()
         while True:
-            op = self.text
+            op = self.signs[self.i]
             binds = PRECEDENCE.get(op, 0)
             if binds < least:
                 return left
@@ -445,7 +452,7 @@ class Parser:
 
     def primary(self, x: N) -> N:
         while True:
-            t = self.text
+            t = self.signs[self.i]
             if t == ".":
                 self.i += 1
                 if self.got("("):

@@ -18,39 +18,34 @@ def declarations(parsed: DataFrame) -> DataFrame:
     return fact(parsed, "decls").withColumn("import_path", import_path()).groupBy("module", "import_path", "name").agg(F.max("rel").alias("target"))
 
 
-def resolved_references(parsed: DataFrame) -> DataFrame:
-    """(module, rel, target, coarse, sibling, refs): counted references of each file to other files or packages.
-
-    A qualified name refers to what its file imports under the qualifier, unless
-    the function binds that name; within a scanned package it is the declaring
-    file, else the package. A bare name refers to a sibling file's declaration,
-    unless bound or declared in the file itself. References are counted per file
-    and name before any join, so that a name used a million times is one row.
+def met_references(parsed: DataFrame) -> DataFrame:
+    """(module, rel, target, coarse, sibling, refs): counted references of each file to other files or packages, a row for each name.
+
+    A qualified name refers to what its file imports under the qualifier; within
+    a scanned package it is the declaring file, else the package. A bare name, or
+    a qualifier that is no import, refers to a sibling file's declaration, unless
+    the file itself declares it. Names that a function binds are no references;
+    the front end counts the others per file and name, so that a name used a
+    million times is one row, and every reference meets the declarations in one join.
     """
-    here = ["module", "rel", "dir"]
-    # one row per use of a name in a declaration; what the declaration binds is taken out
-    bound = fact(parsed, "locals").select(*here, "decl", F.col("name").alias("bound"))
-    uses = fact(parsed, "refs").groupBy(*here, "decl", "qualifier", "name").agg(F.count(F.lit(1)).alias("refs"))
-    head = F.coalesce("qualifier", "name")
-    free = uses.withColumn("bound", head).join(bound, [*here, "decl", "bound"], "left_anti")
-    per_file = free.groupBy(*here, "qualifier", "name").agg(F.sum("refs").alias("refs")).withColumn("own_path", import_path())
-
-    imports = fact(parsed, "imports").where(~F.col("local_name").isin("_", ".")).groupBy(*here, F.col("local_name").alias("qualifier")).agg(F.max_by("path", "line").alias("path"))
-    decls = declarations(parsed)
-    qualified = per_file.where(F.col("qualifier").isNotNull()).join(imports, [*here, "qualifier"], "left")
-    via_import = qualified.where(F.col("path").isNotNull())
-    in_module = decls.select("module", F.col("import_path").alias("path"), "name", "target")
-    through = via_import.join(in_module, ["module", "path", "name"], "left").select(
-        "module", "rel", F.coalesce("target", "path").alias("target"), F.col("path").alias("coarse"), F.lit(False).alias("sibling"), "refs"
-    )
-    # a selector on what is no import may still start from a sibling's declaration
-    bare = per_file.where(F.col("qualifier").isNull()).select("module", "rel", "own_path", "name", "refs").unionByName(
-        qualified.where(F.col("path").isNull()).select("module", "rel", "own_path", F.col("qualifier").alias("name"), "refs")
+    imports = F.filter("imports", lambda i: (i["local_name"] == F.col("qualifier")) & ~i["local_name"].isin("_", "."))
+    rows = parsed.select("module", "rel", import_path().alias("own_path"), "imports", F.inline("refs"))
+    path = F.when(F.col("qualifier").isNotNull(), F.try_element_at(imports, F.lit(-1))["path"])  # of several the last holds
+    rows = rows.withColumn("coarse", path).select(
+        "module", "rel", "coarse", "refs",
+        F.coalesce("coarse", "own_path").alias("import_path"),
+        F.when(F.col("coarse").isNull(), F.coalesce("qualifier", "name")).otherwise(F.col("name")).alias("name"),
+    )
+    met = rows.join(declarations(parsed), ["module", "import_path", "name"], "left")
+    sibling = F.col("coarse").isNull()
+    return met.where(~sibling | F.col("target").isNotNull() & (F.col("target") != F.col("rel"))).select(
+        "module", "rel", F.coalesce("target", "coarse").alias("target"), F.coalesce("coarse", "target").alias("coarse"), sibling.alias("sibling"), "refs"
     )
-    own = decls.select("module", F.col("import_path").alias("own_path"), "name", "target")
-    beside = bare.join(own, ["module", "own_path", "name"]).where("target <> rel").select("module", "rel", "target", F.col("target").alias("coarse"), F.lit(True).alias("sibling"), "refs")
-    both = through.unionByName(beside)
-    return both.groupBy("module", "rel", "target", "coarse", "sibling").agg(F.sum("refs").alias("refs"))
+
+
+def resolved_references(parsed: DataFrame) -> DataFrame:
+    """met_references() with one row for each file and target."""
+    return met_references(parsed).groupBy("module", "rel", "target", "coarse", "sibling").agg(F.sum("refs").alias("refs"))
 
 
 def file_dependencies(parsed: DataFrame, refs: DataFrame, granularity: str = "package") -> DataFrame:

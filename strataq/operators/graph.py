@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from strataq.common import stash
 from strataq.functions.text import folded_dir
 
+#: Different edges of one graph up to which one task solves it in memory (about 200 bytes an edge).
+TASK_EDGES = 500_000
+
 
 def _drop_dead_ends(edges: DataFrame) -> DataFrame:
     """Edges between nodes that have both a way in and a way out, until none falls away."""
@@ -41,14 +44,72 @@ def _spread(edges: DataFrame, start: DataFrame, source: str, target: str, same:
             return state
 
 
-def strong_components(edges: DataFrame, group: str, source: str, target: str) -> DataFrame:
+def strong_components(edges: DataFrame, group: str, source: str, target: str, task_edges: int = TASK_EDGES) -> DataFrame:
     """(group, component, node) of the strongly connected components with two nodes or more; component is the greatest node's name.
 
-    Distributed, whatever the graph's size: dead ends are dropped; the greatest
-    name that reaches a node colours it; the nodes from which a colour's namesake
-    is reached back within the colour are its component and leave the graph.
+    Groups of at most TASK_EDGES different edges are solved side by side, one
+    group in a task's memory at a time; larger ones by colouring(), whatever
+    their size. Both are exact and give the same rows.
     """
     graph = stash(edges.where(F.col(source) != F.col(target)).select(F.col(group).alias("g"), F.col(source).cast("string").alias("a"), F.col(target).cast("string").alias("b")).distinct(), "graph")
+    large = graph.groupBy("g").count().where(F.col("count") > task_edges).select("g")
+    if large.isEmpty():
+        found = graph.groupBy("g").applyInPandas(_components_of, _FOUND)
+    else:
+        large = stash(large, "graph")
+        small = graph.join(large, "g", "left_anti").groupBy("g").applyInPandas(_components_of, _FOUND)
+        found = small.unionByName(colouring(stash(graph.join(large, "g", "left_semi"), "graph")))
+    return found.select(F.col("g").alias(group), F.col("k").alias("component"), F.col("v").alias("node"))
+
+
+_FOUND = "g string, v string, k string"
+
+
+def _components_of(rows: pd.DataFrame) -> pd.DataFrame:
+    """Components of one group's edges: nodes are numbered, two walks without recursion, the second against the edges in
+    the order in which the first left the nodes."""
+    names = sorted(set(rows["a"]) | set(rows["b"]))
+    number = {n: i for i, n in enumerate(names)}
+    ahead, behind = [[] for _ in names], [[] for _ in names]
+    for a, b in zip(rows["a"].map(number), rows["b"].map(number)):
+        ahead[a].append(b)
+        behind[b].append(a)
+    left, seen = [], bytearray(len(names))
+    for start in range(len(names)):
+        if seen[start]:
+            continue
+        seen[start], path = 1, [(start, iter(ahead[start]))]
+        while path:
+            node, ways = path[-1]
+            for to in ways:
+                if not seen[to]:
+                    seen[to] = 1
+                    path.append((to, iter(ahead[to])))
+                    break
+            else:
+                path.pop()
+                left.append(node)
+    out, taken = [], bytearray(len(names))
+    for start in reversed(left):
+        if taken[start]:
+            continue
+        taken[start], todo, members = 1, [start], []
+        while todo:
+            node = todo.pop()
+            members.append(node)
+            for to in behind[node]:
+                if not taken[to]:
+                    taken[to] = 1
+                    todo.append(to)
+        if len(members) > 1:
+            name = names[max(members)]
+            out += [(rows["g"].iloc[0], names[m], name) for m in members]
+    return pd.DataFrame(out, columns=["g", "v", "k"])
+
+
+def colouring(graph: DataFrame) -> DataFrame:
+    """(g, v, k) of graphs of any size: dead ends are dropped; the greatest name that reaches a node colours it; the nodes
+    from which a colour's namesake is reached back within the colour are its component and leave the graph."""
     found = None
     while True:
         graph = _drop_dead_ends(graph)
@@ -67,7 +128,7 @@ def strong_components(edges: DataFrame, group: str, source: str, target: str) ->
         graph = stash(graph, "graph")
     if found is None:
         found = graph.select("g", F.col("a").alias("v"), F.col("b").alias("k"))
-    return found.select(F.col("g").alias(group), F.col("k").alias("component"), F.col("v").alias("node"))
+    return found
 
 
 def import_edges(imports: DataFrame, packages: DataFrame) -> DataFrame:

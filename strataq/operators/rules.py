@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strataq import dims
 from strataq.config import Config
 from strataq.functions.text import hardcoded_url, is_filesystem_path, trim_comment
-from strataq.operators.coupling import file_dependencies, resolved_references
+from strataq.operators.coupling import file_dependencies, met_references
 from strataq.operators.facts import fact
 from strataq.operators.graph import directory_cycles, import_edges
 from strataq.sources.tree import base_name, under
@@ -51,7 +51,7 @@ def size_rules(parsed: DataFrame, cfg: Config) -> DataFrame:
 
 
 def dependency_rules(parsed: DataFrame, cfg: Config) -> DataFrame:
-    deps = file_dependencies(parsed, resolved_references(parsed), cfg.span_granularity).withColumn("element", base_name(F.col("rel"))).withColumnRenamed("rel", "file")
+    deps = file_dependencies(parsed, met_references(parsed), cfg.span_granularity).withColumn("element", base_name(F.col("rel"))).withColumnRenamed("rel", "file")
     return banded(deps, "DEPENDENCY_VOLUME_RISK", "volume", "dependency volume", cfg.bands["DEPENDENCY_VOLUME_RISK"]).unionByName(banded(deps, "DEPENDENCY_SPAN_RISK", "span", "dependency span", cfg.bands["DEPENDENCY_SPAN_RISK"]))
 
 

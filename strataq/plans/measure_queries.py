@@ -291,14 +291,9 @@ def entanglement(spark: SparkSession, d: str) -> DataFrame:
     return _six(graph.entanglement(component_edges(spark, d).withColumn("language", F.lit("go")), "language"))
 
 
-def _strong_edges(spark: SparkSession, d: str) -> DataFrame:
-    e = component_edges(spark, d)
-    return e.join(e.groupBy("from").agg(F.max("weight").alias("most")), "from").where("weight >= most")
-
-
 def scc_members(spark: SparkSession, d: str) -> DataFrame:
-    """Components in a cycle of heaviest lines: of each component only the lines of its greatest weight."""
-    return graph.strong_components(_strong_edges(spark, d).withColumn("language", F.lit("go")), "language", "from", "to").select("component", "node")
+    """Components in a cycle of lines."""
+    return graph.strong_components(component_edges(spark, d).withColumn("language", F.lit("go")), "language", "from", "to").select("component", "node")
 
 
 _OWN_SQL = """
@@ -457,7 +452,7 @@ SQL = {
     "component_shares": f"WITH {_OWN_SQL} SELECT component, count(*) AS modules, CAST(sum(loc) AS BIGINT) AS loc, CAST(sum(CASE WHEN in_cross_component > 0 THEN loc ELSE 0 END) AS BIGINT) AS exposed, round(coalesce(sum(CASE WHEN in_cross_component > 0 THEN loc ELSE 0 END) / nullif(CAST(sum(loc) AS DOUBLE), 0) * 100, 0), 6) AS exposed_pct FROM mods GROUP BY component",
     "coupling_tails": f"WITH {_OWN_SQL}, t AS ({_COUPLING_TAIL}) SELECT language, property, tail, cap_pct, elements, loc, total, round({_CPCT}, 6) AS pct, {_CPCT} <= cap_pct AS pass, abs({_CPCT} - cap_pct) <= 0.05::DOUBLE AS at_cap, CASE WHEN {_CPCT} <= cap_pct THEN 0 ELSE CAST(ceil(loc - cap_pct / 100 * total) AS BIGINT) END AS excess_loc FROM t",
     "direct_cycles": f"WITH {_OWN_SQL} SELECT a.\"from\" AS a, a.\"to\" AS b, least(a.weight, b.weight) AS weight, CASE WHEN a.weight <= b.weight THEN a.\"from\" ELSE a.\"to\" END AS lighter_from, CASE WHEN a.weight <= b.weight THEN a.\"to\" ELSE a.\"from\" END AS lighter_to FROM ce a JOIN ce b ON a.\"from\" = b.\"to\" AND a.\"to\" = b.\"from\" WHERE a.\"from\" < a.\"to\"",
-    "scc_members": f"WITH RECURSIVE {_OWN_SQL}, s AS (SELECT \"from\" AS a, \"to\" AS b FROM (SELECT *, max(weight) OVER (PARTITION BY \"from\") AS most FROM ce) WHERE weight >= most), r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a), mm AS (SELECT x.a AS node, x.b AS other FROM r x JOIN r y ON x.a = y.b AND x.b = y.a) SELECT max(greatest(node, other)) AS component, node FROM mm GROUP BY node HAVING count(*) FILTER (WHERE other <> node) > 0",
+    "scc_members": f"WITH RECURSIVE {_OWN_SQL}, s AS (SELECT \"from\" AS a, \"to\" AS b FROM ce), r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a), mm AS (SELECT x.a AS node, x.b AS other FROM r x JOIN r y ON x.a = y.b AND x.b = y.a) SELECT max(greatest(node, other)) AS component, node FROM mm GROUP BY node HAVING count(*) FILTER (WHERE other <> node) > 0",
     "coverage_packages": f"WITH {_COV_SQL} SELECT regexp_replace(file, '/[^/]*$', '') AS package, count(*) AS files, CAST(sum(statements) AS BIGINT) AS statements, CAST(sum(covered) AS BIGINT) AS covered, CAST(sum(statements) - sum(covered) AS BIGINT) AS uncovered, round(sum(covered) / CAST(sum(statements) AS DOUBLE) * 100, 6) AS pct FROM f WHERE NOT generated GROUP BY 1",
     "coverage_verdict": f"WITH {_COV_SQL}, t AS (SELECT CAST(sum(CASE WHEN generated THEN 0 ELSE statements END) AS BIGINT) AS statements, CAST(sum(CASE WHEN generated THEN 0 ELSE covered END) AS BIGINT) AS covered, CAST(sum(CASE WHEN generated THEN statements ELSE 0 END) AS BIGINT) AS generated_statements FROM f), u AS (SELECT *, covered / CAST(statements AS DOUBLE) * 100 AS p FROM t) "
     "SELECT statements, covered, generated_statements, round(p, 6) AS pct, p < 80 AS breached, greatest(CAST(floor(covered * 100 / 80.0::DOUBLE) AS BIGINT) - statements, 0) AS headroom, greatest(CAST(ceil(0.8::DOUBLE * statements) AS BIGINT) - covered, 0) AS shortfall, round(CASE WHEN floor((p - 0.2::DOUBLE) * 10) / 10 - 80 >= 1 THEN floor((p - 0.2::DOUBLE) * 10) / 10 END, 6) AS raise_to FROM u",

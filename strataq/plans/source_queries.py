@@ -59,7 +59,7 @@ def go_non_unit_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def go_dependencies(spark: SparkSession, d: str) -> DataFrame:
     parsed = _go(spark, d)
-    return coupling.file_dependencies(parsed, coupling.resolved_references(parsed))
+    return coupling.file_dependencies(parsed, coupling.met_references(parsed))
 
 
 def go_module_fan_in(spark: SparkSession, d: str) -> DataFrame:

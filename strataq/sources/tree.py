@@ -78,7 +78,8 @@ def is_generated(body: Column) -> Column:
     trimmed = F.transform(lines, lambda x: F.trim(F.translate(x, "\t", " ")))
     code = F.array_position(F.transform(trimmed, lambda x: ~((x == "") | x.startswith("//") | x.startswith("/*"))), F.lit(True))
     head = F.when(code > 0, F.slice(lines, F.lit(1), (code - 1).cast("int"))).otherwise(lines)
-    return F.exists(head, lambda x: x.rlike(dims.GENERATED_MARKER))
+    # the marker's fixed words are sought first: most texts are settled without being cut into lines
+    return F.coalesce(body.contains(dims.GENERATED_WORDS), F.lit(False)) & F.exists(head, lambda x: x.rlike(dims.GENERATED_MARKER))
 
 
 def script_sources(files: DataFrame, skip_paths: list[str] | None = None) -> DataFrame:

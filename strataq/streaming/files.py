@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from strataq.common import drop_stash
 from strataq.operators.facts import parse_go
 from strataq.sources.tree import directory, go_sources
 
@@ -21,5 +22,11 @@ def watch_tree(spark: SparkSession, root: str, module: str) -> DataFrame:
 
 
 def each_batch(files: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Parses each batch's Go files once and hands the facts on; offsets and files seen are kept under checkpoint."""
-    return files.writeStream.foreachBatch(lambda batch, n: sink(parse_go(go_sources(batch)), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Parses each batch's Go files once and hands the facts on, which are removed when the sink is done; offsets and files seen are kept under checkpoint."""
+
+    def run(batch: DataFrame, n: int) -> None:
+        facts = parse_go(go_sources(batch))
+        sink(facts, n)
+        drop_stash(facts)
+
+    return files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
