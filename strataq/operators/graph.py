@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -221,31 +222,48 @@ class _Lines:
             self.live[a, b] = False
             self.out.append(("indirect cyclic", a, b, self.weight[a, b], "cycle through " + ", ".join(sorted(f"{x} -> {y}" for x, y in ring))))
 
-    def _reach(self, start: str, step: dict[str, list[str]]) -> set[str]:
-        seen, todo = {start}, [start]
-        while todo:
-            for b in step.get(todo.pop(), ()):
-                if b not in seen:
-                    seen.add(b)
-                    todo.append(b)
-        return seen
-
     def bypasses(self) -> None:
-        """A line no heavier than the lightest line on the other ways between its ends; lines to leaves are none."""
-        leads = {a for a, _ in self.weight}
-        for a, b in self.weight:
-            if not self.live[a, b] or b not in leads:
+        """A line no heavier than the lightest line on the other ways between its ends; lines to leaves are none.
+
+        No cycle is left, so whatever lies on a way from a to b is reached from a
+        and reaches b. Taking out a bypass leaves a way, so what reaches what is
+        worked out once, as bit sets over numbered components.
+        """
+        names = sorted({x for e in self.weight for x in e})
+        number = {n: i for i, n in enumerate(names)}
+        lines = {(number[a], number[b]): w for (a, b), w in self.weight.items()}
+        leads = {a for a, _ in lines}
+        after = [0] * len(names)
+        for (a, b), alive in zip(lines, self.live.values()):
+            if alive:
+                after[a] |= 1 << b
+        ahead = [1 << i for i in range(len(names))]
+        grown = True
+        while grown:
+            grown = False
+            for i in range(len(names)):
+                more = ahead[i]
+                for j in _bits(after[i]):
+                    more |= ahead[j]
+                grown, ahead[i] = grown or more != ahead[i], more
+        behind = [sum(1 << i for i in range(len(names)) if ahead[i] >> b & 1) for b in range(len(names))]
+        for a, b in sorted(lines):
+            if not after[a] >> b & 1 or b not in leads:
                 continue
-            rest = [e for e in self.weight if self.live[e] and e != (a, b)]
-            forth, back = defaultdict(list), defaultdict(list)
-            for x, y in rest:
-                forth[x].append(y)
-                back[y].append(x)
-            ahead, behind = self._reach(a, forth), self._reach(b, back)
-            between = [self.weight[x, y] for x, y in rest if x in ahead and y in behind]
-            if between and self.weight[a, b] <= min(between):
-                self.live[a, b] = False
-                self.out.append(("transitive", a, b, self.weight[a, b], f"{a} -> {b} ({self.weight[a, b]}) duplicates an indirect path whose lightest line is {min(between)}"))
+            between = ahead[a] & behind[b]
+            lightest = min((lines[x, y] for x in _bits(between) for y in _bits(after[x] & between) if (x, y) != (a, b)), default=None)
+            if lightest is not None and lines[a, b] <= lightest:
+                after[a] ^= 1 << b
+                line = names[a], names[b]
+                self.live[line] = False
+                self.out.append(("transitive", *line, lines[a, b], f"{line[0]} -> {line[1]} ({lines[a, b]}) duplicates an indirect path whose lightest line is {lightest}"))
+
+
+def _bits(mask: int) -> Iterator[int]:
+    while mask:
+        low = mask & -mask
+        yield low.bit_length() - 1
+        mask ^= low
 
 
 def violations(edges: DataFrame, group: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataq.plans import data_queries, measure_queries, source_queries
+from strataq.plans import data_queries, golden_queries, measure_queries, source_queries
 
-MODULES = [data_queries, measure_queries, source_queries]
+MODULES = [data_queries, measure_queries, source_queries, golden_queries]
 
 
 def queries() -> dict:

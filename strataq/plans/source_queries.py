@@ -1,7 +1,4 @@
-"""Queries of the source-scanning operators over source_files, with SQL where SQL can state them.
-
-The front end's queries have none: they are held against independent counts in tests/.
-"""
+"""Queries of the source-scanning operators over source_files, with their SQL; that of the front end reads tokens, not syntax trees."""
 
 from __future__ import annotations
 
@@ -13,7 +10,9 @@ from strataq.common import table
 from strataq.frontend.scriptfacts import DECLARED, DECLARED_MORE, NEXT_NAME
 from strataq.operators import changes, coupling, duplication, graph, profile, review, rules
 from strataq.operators import declarations as decl
+from strataq.config import Config
 from strataq.operators.facts import fact, parse_go
+from strataq.plans import go_sql
 from strataq.sources import tree
 
 
@@ -72,6 +71,35 @@ def go_findings(spark: SparkSession, d: str) -> DataFrame:
     return rules.run_rules(_go(spark, d))
 
 
+def go_size_findings(spark: SparkSession, d: str) -> DataFrame:
+    return rules.size_rules(_go(spark, d), Config())
+
+
+def go_comment_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Comments that are notices, suppress a warning or speak of unfinished work."""
+    return rules.comment_rules(_go(spark, d)).where("rule <> 'COMMENTED_OUT_CODE'")
+
+
+def go_nested_loops(spark: SparkSession, d: str) -> DataFrame:
+    return rules.loop_rules(_go(spark, d), Config()).where("rule = 'NESTED_LOOP'")
+
+
+def go_branch_findings(spark: SparkSession, d: str) -> DataFrame:
+    return rules.branch_rules(_go(spark, d))
+
+
+def go_debug_findings(spark: SparkSession, d: str) -> DataFrame:
+    return rules.debug_rule(_go(spark, d), Config())
+
+
+def go_doc_findings(spark: SparkSession, d: str) -> DataFrame:
+    return rules.doc_rule(_go(spark, d))
+
+
+def go_literals(spark: SparkSession, d: str) -> DataFrame:
+    return fact(_go(spark, d), "literals").drop("dir")
+
+
 def go_finding_counts(spark: SparkSession, d: str) -> DataFrame:
     return review.counts(go_findings(spark, d))
 
@@ -128,7 +156,7 @@ def severity_rank(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        generated_marker, scanned_files, go_units, go_unit_shares, go_non_unit_lines, go_dependencies, go_module_fan_in, go_findings, go_finding_counts, go_directory_cycles, go_duplication, comment_only_changes,
+        generated_marker, scanned_files, go_units, go_unit_shares, go_non_unit_lines, go_dependencies, go_module_fan_in, go_findings, go_size_findings, go_comment_findings, go_nested_loops, go_branch_findings, go_debug_findings, go_doc_findings, go_literals, go_finding_counts, go_directory_cycles, go_duplication, comment_only_changes,
         duplicate_exports, duplicate_values, duplicate_unions, union_subsets, duplicate_shapes, helper_per_package, severity_rank,
     )
 }
@@ -155,7 +183,33 @@ h AS (SELECT rel, unnest(regexp_extract_all(text, '(?:type\s+[A-Za-z_$][\w$]*\s*
 t AS (SELECT rel, hit, list_sort(list_transform(regexp_extract_all(regexp_replace(hit, '^[^''"]*', ''), '{_MEMBER_SQL}'), lambda x: substr(x, 2, length(x) - 2))) AS m FROM h),
 u AS (SELECT rel AS file, regexp_extract(hit, '^(?:type\s+)?([A-Za-z_$][\w$]*)', 1) AS name, m, array_to_string(m, '|') AS members FROM t)
 """
+_OUT = "|".join(x.replace(".", chr(92) + ".") for x in dims.EXCLUDE_DIRS)
+_MARKED = "(?m)\\A(?:[ \\t\\r]*(?://[^\\n]*|/\\*[^\\n]*)?\\n)*// Code generated [^\\n]* DO NOT EDIT\\.\\r?$"
+_GO_SQL = f"""WITH {_FILES_SQL},
+g AS (SELECT module, rel, CASE WHEN contains(rel, '/') THEN regexp_replace(rel, '/[^/]*$', '') ELSE '.' END AS dir, body FROM f
+      WHERE ends_with(rel, '.go') AND NOT ends_with(rel, '_test.go') AND NOT regexp_matches(rel, '(^|/)\\.[^/]*/') AND NOT regexp_matches(rel, '^({_OUT})(/|$)') AND NOT regexp_matches(coalesce(body, ''), '{_MARKED}')),
+{go_sql.TOKENS}, {go_sql.UNITS}, {go_sql.DECLS}"""
+
+
+def _ascii_words(pattern: str) -> str:
+    """A pattern of dims in RE2, which has no look-arounds; its \\b is of ASCII words too."""
+    return pattern.replace("(?<![0-9A-Za-z_])", r"\b").replace("(?![0-9A-Za-z_])", r"\b").replace("'", "''")
+
+
 SQL = {
+    "go_units": f"{_GO_SQL} {go_sql.UNIT_ROWS}",
+    "go_unit_shares": f"{_GO_SQL}, a AS (SELECT 'go' AS language, * FROM units WHERE has_body) {go_sql.tail_rows(dims.UNIT_PROPERTIES, dims.AT_CAP_MARGIN)}",
+    "go_non_unit_lines": f"{_GO_SQL} SELECT t.module, t.rel, CAST(greatest(t.loc - coalesce(u.loc, 0), 0) AS BIGINT) AS non_unit_loc FROM (SELECT module, rel, count(DISTINCT line) AS loc FROM tok WHERE NOT remark AND NOT nl GROUP BY 1, 2) t LEFT JOIN (SELECT module, rel, sum(loc) AS loc FROM units WHERE has_body GROUP BY 1, 2) u USING (module, rel)",
+    "go_dependencies": f"{_GO_SQL}, {go_sql.DEPENDENCIES} {go_sql.DEPENDENCY_ROWS}",
+    "go_module_fan_in": f"{_GO_SQL}, {go_sql.DEPENDENCIES} {go_sql.FAN_IN_ROWS}",
+    "go_size_findings": f"{_GO_SQL} {go_sql.size_findings(dims.BANDS)}",
+    "go_comment_findings": f"{_GO_SQL} {go_sql.comment_findings(*(_ascii_words(p) for p in (dims.NOTICE, dims.UNFINISHED, dims.SUPPRESSION)))}",
+    "go_nested_loops": f"{_GO_SQL}, {go_sql.NESTED_LOOPS} SELECT * FROM nested",
+    "go_branch_findings": f"{_GO_SQL}, {go_sql.BRANCHES} SELECT * FROM empty_branch UNION ALL SELECT * FROM bare_switch",
+    "go_debug_findings": f"{_GO_SQL}, {go_sql.DEBUG} {go_sql.DEBUG_ROWS}",
+    "go_doc_findings": f"{_GO_SQL} {go_sql.DOC_ROWS}",
+    "go_literals": f"{_GO_SQL} {go_sql.LITERAL_ROWS}",
+    "go_duplication": f"{_GO_SQL}, {go_sql.DUPLICATION_ROWS}",
     "generated_marker": """
 WITH l AS (SELECT file_id, list_transform(string_split(coalesce(body, ''), chr(10)), lambda x: regexp_replace(x, '\\r+$', '')) AS ls FROM source_files),
 c AS (SELECT file_id, ls, list_position(list_transform(ls, lambda x: NOT (regexp_replace(x, '^[ \\t]+|[ \\t]+$', '', 'g') = '' OR regexp_matches(x, '^[ \\t]*(//|/\\*)'))), true) AS p FROM l)
