@@ -5,7 +5,8 @@ declarations: whether a line declares something, what its name is and what it
 belongs to is found over the rows. Tokens:
   o, c   an opening, a closing bracket
   h      the first word of a line on which a declaration may begin
-  w      a word or sign after it, to the end of the line on which its parentheses close
+  w      a word or sign after it, to the end of the line on which its parentheses close; of what stands
+         in those only a Go receiver
   O, C   brackets among those
   k      a comment; adjoining // lines are one
 Bracket pairs that close on their own line leave no token elsewhere.
@@ -46,9 +47,11 @@ _SCRIPT = re.compile(
     rf"|{_SCRIPT_TEXT}|(?P<e>\{{[^()\[\]{{}}\"'`/\n]*\}})|{_FLAT}|(?P<o>[(\[{{])|(?P<c>[)\]}}])",
     re.S,
 )
+_PAIR = r"(?P<pair>\([^()\[\]{}\"'`/\n]*\))"
 _SIGNS = r"(?P<nl>\n)|(?P<w>[\w$#]+|=>|[=!<>]=+|&&|\|\||\?\?|[^\w\s$#])"
-_GO_HEAD = re.compile(rf"(?P<line>//[^\n]*)|(?P<block>/\*.*?(?:\*/|\Z))|{_GO_TEXT}|(?P<o>[(\[{{])|(?P<c>[)\]}}])|{_SIGNS}", re.S)
-_SCRIPT_HEAD = re.compile(rf"(?P<line>//[^\n]*)|(?P<block>/\*.*?(?:\*/|\Z))|{_SCRIPT_TEXT}|(?P<o>[(\[{{])|(?P<c>[)\]}}])|{_SIGNS}", re.S)
+_GO_HEAD = re.compile(rf"(?P<line>//[^\n]*)|(?P<block>/\*.*?(?:\*/|\Z))|{_GO_TEXT}|{_PAIR}|(?P<o>[(\[{{])|(?P<c>[)\]}}])|{_SIGNS}", re.S)
+_SCRIPT_HEAD = re.compile(rf"(?P<line>//[^\n]*)|(?P<block>/\*.*?(?:\*/|\Z))|{_SCRIPT_TEXT}|{_PAIR}|(?P<o>[(\[{{])|(?P<c>[)\]}}])|{_SIGNS}", re.S)
+_RECEIVER = re.compile(r"[ \t]*\([^()\n]*\)")
 _MEMBER = re.compile(r"[\w$#]+|[^\w\s$#]")
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 #: Signs and words after which a slash begins a regular expression.
@@ -132,29 +135,41 @@ class _Reader:
         r = _REGEX.match(self.code, start)
         return r.end() if r and _regex_may_begin(self.code, start) else end
 
+    def words(self, start: int, end: int) -> None:
+        for x in _MEMBER.finditer(self.code, start, end):
+            text = x.group()
+            self.add(x.start(), x.end(), "O" if text == "(" else "C" if text == ")" else "w", text)
+
     def head(self, pattern: re.Pattern, end: int) -> int:
-        """Every token to the end of the line on which the parentheses open here are closed; also past a line that ends with =."""
-        deep, text = 0, ""
+        """The tokens to the end of the line on which the parentheses open here are closed, also past a line that ends
+        with =; of what stands in parentheses or square brackets nothing."""
+        inside, text = 0, ""
         m = pattern.search(self.code, end)
         while m:
             kind, start, end = m.lastgroup, m.start(), m.end()
             if kind == "nl":
-                if deep <= 0 and text != "=":
+                if not inside and text != "=":
                     return start
-            elif kind == "w":
-                text = m.group()
-                self.add(start, end, "w", text)
             elif kind == "o" or kind == "c":
                 text = m.group()
-                deep += (text in "([") - (text in ")]")
-                self.add(start, end, kind.upper(), text)
+                if inside:
+                    inside += 1 if kind == "o" else -1
+                elif text in "([":
+                    inside = 1
+                if kind == "o" and inside <= 1 or kind == "c" and not inside:
+                    self.add(start, end, kind.upper(), text)
             elif kind == "tick" or kind == "slash":
                 end, text = self.skip(kind, start, end), ""
             elif kind == "line" or kind == "block":
                 if kind == "block" and _own_line(self.code, start):
                     self.comment(start, end)
-            else:
-                text = ""
+            elif not inside:
+                text = ")" if kind == "pair" else m.group()
+                if kind == "w":
+                    self.add(start, end, "w", text)
+                elif kind == "pair":
+                    self.add(start, start + 1, "O", "(")
+                    self.add(end - 1, end, "C", ")")
             m = pattern.search(self.code, end)
         return len(self.code)
 
@@ -168,6 +183,10 @@ def lex_go(body: str) -> list[Token]:
             r.add(start, end, kind, m.group())
         elif kind == "h":
             r.add(m.start("h"), end, "h", "func")
+            receiver = _RECEIVER.match(body, end)
+            if receiver:
+                r.words(end, receiver.end())
+                end = receiver.end()
             end = r.head(_GO_HEAD, end)
         elif kind is not None:
             if not _own_line(body, start):  # a remark on code; // lines below it stand for themselves

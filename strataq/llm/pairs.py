@@ -46,29 +46,34 @@ def tokens(files: DataFrame) -> DataFrame:
 
 
 def _with_depth(rows: DataFrame) -> DataFrame:
-    """Tokens with depth (of brackets around them), island (number of the head they belong to), head_depth and
-    owner (the top-level class around them, or ''). The tokens of a row delivered again count once."""
+    """Tokens with depth, the number of brackets around them. The tokens of a row delivered again count once."""
     w = Window.partitionBy(*DELIVERY).orderBy("pos", F.desc("kind"))  # a parenthesis is a sign of its head, then a bracket
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    kind, text = F.col("kind"), F.col("text")
+    kind = F.col("kind")
     again = (F.lag("pos").over(w) == F.col("pos")) & (F.lag("kind").over(w) == kind)
     rows = rows.withColumn("again", F.coalesce(again, F.lit(False))).where("NOT again").drop("again")
     opens, closes = kind.isin("o", "O").cast("int"), kind.isin("c", "C").cast("int")
-    deep = rows.withColumn("depth", F.sum(opens - closes).over(upto) - opens)
-    code = F.when(kind != "k", F.struct("kind", "text"))
-    deep = deep.withColumn("prev", F.last(code, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    on_head = F.col("prev.kind").isin("h", "w")
+    return rows.withColumn("depth", F.sum(opens - closes).over(w.rowsBetween(Window.unboundedPreceding, 0)) - opens)
+
+
+def _heads(deep: DataFrame) -> DataFrame:
+    """Comments and heads that may count, with island (number of the head a token belongs to), head_depth and owner (the
+    top-level class around them, or '')."""
+    w = Window.partitionBy(*DELIVERY).orderBy("pos", F.desc("kind"))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    kind, text, depth = F.col("kind"), F.col("text"), F.col("depth")
+    near = deep.where((depth == 0) | (depth == 1) & ~kind.isin("o", "c"))
+    near = near.withColumn("before", F.lag("text").over(w)).withColumn("on_head", F.coalesce(F.lag("kind").over(w).isin("h", "w"), F.lit(False)))
     own = (  # what a token at depth 0 says about the class that what follows lies in; null: nothing
-        F.when(F.col("depth") != 0, None)
-        .when(kind.isin("w", "O") & (F.col("prev.text") == "class") & on_head, F.when((kind == "O") | text.isin("extends", "implements"), "").otherwise(text))
+        F.when(depth != 0, None)
+        .when(kind.isin("w", "O") & (F.col("before") == "class") & F.col("on_head"), F.when((kind == "O") | text.isin("extends", "implements"), "").otherwise(text))
         .when(kind == "h", "")
-        .when((kind == "o") & ~((text == "{") & F.coalesce(on_head, F.lit(False))), "")
+        .when((kind == "o") & ~((text == "{") & F.col("on_head")), "")
     )
     return (
-        deep.withColumn("owner", F.coalesce(F.last(own, ignorenulls=True).over(upto), F.lit("")))
+        near.withColumn("owner", F.coalesce(F.last(own, ignorenulls=True).over(upto), F.lit("")))
         .withColumn("island", F.sum((kind == "h").cast("int")).over(upto))
-        .withColumn("head_depth", F.last(F.when(kind == "h", F.col("depth")), ignorenulls=True).over(upto))
-        .drop("prev")
+        .withColumn("head_depth", F.last(F.when(kind == "h", depth), ignorenulls=True).over(upto))
+        .drop("before", "on_head")
     )
 
 
@@ -88,10 +93,10 @@ def _islands(deep: DataFrame) -> DataFrame:
     A head is an island of tokens: its name is read off the tokens at its own
     depth, a receiver off those within. Adjoining comments of Go are one island.
     """
-    w = Window.partitionBy(*DELIVERY).orderBy("pos")
+    w = Window.partitionBy(*DELIVERY).orderBy("pos", F.desc("kind"))
     is_doc = F.col("kind") == "k"
     of_head = F.col("kind").isin("h", "w", "O", "C") & ((F.col("head_depth") == 0) | (F.col("head_depth") == 1) & (F.col("owner") != "") & ~F.col("go"))
-    kept = deep.where(is_doc & (F.col("depth") <= 1) | of_head)
+    kept = _heads(deep).where(is_doc | of_head)
     joins = is_doc & (F.lag("kind").over(w) == "k") & (F.lag("last_line").over(w) == F.col("line") - 1) & F.col("go")
     runs = kept.withColumn("run", F.when(is_doc, F.sum(F.when(joins | ~is_doc, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))).otherwise(-F.col("island")))
     own = ~is_doc & (F.col("depth") == F.col("head_depth"))
