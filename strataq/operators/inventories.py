@@ -39,4 +39,5 @@ def last_units(units: DataFrame) -> DataFrame:
 
 
 def unit_differences(units: DataFrame, copy: DataFrame) -> DataFrame:
-    return differences(last_units(units), last_units(copy), KEY, FIELDS, ("units", "copy"))
+    rows = max(units.count(), copy.count())  # with what was delivered again: buckets come out a little smaller
+    return differences(last_units(units), last_units(copy), KEY, FIELDS, ("units", "copy"), rows)

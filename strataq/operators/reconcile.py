@@ -24,6 +24,8 @@ from strataq.functions.modular import P, mulmod, rational, roots, segment_produc
 HASH_BITS = 60
 BUCKET_ROWS = 32
 FIRST_DEGREE = 4
+#: Buckets one task solves at most, about; what a task holds at once does not depend on it.
+BUCKETS_PER_TASK = 20_000
 SPARE_POINTS = 2  # a wrong interpolation passes both with a chance below 2**-110
 
 
@@ -47,10 +49,12 @@ def with_hashes(rows: DataFrame, key: Sequence[str], fields: Sequence[str], buck
 
 
 def sketches(side: DataFrame, which: int, points: int) -> DataFrame:
-    """(bucket, side, size, e): products per bucket, within each input partition; parts meet in solve()."""
+    """(bucket, side, size, e): products per bucket. side comes sorted by bucket within its files, so a bucket gives one
+    row, and one more where a file is cut between two tasks; parts meet in solve()."""
     zs = np.array(_points(points), dtype=np.uint64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_ = None  # bucket, size and product that may go on in the next batch
         for b in batches:
             if not len(b):
                 continue
@@ -58,7 +62,20 @@ def sketches(side: DataFrame, which: int, points: int) -> DataFrame:
             keys = b["bucket"].to_numpy()
             names, size = np.unique(keys, return_counts=True)
             _, e = segment_products(keys, factors)
-            yield pd.DataFrame({"bucket": names, "side": which, "size": size, "e": list(e.astype(np.int64))})
+            if open_ is not None:
+                at = int(np.searchsorted(names, open_[0]))
+                if at < len(names) and names[at] == open_[0]:
+                    size[at] += open_[1]
+                    e[at] = mulmod(e[at], open_[2])
+                else:
+                    names, size, e = np.r_[names, open_[0]], np.r_[size, open_[1]], np.vstack([e, open_[2]])
+            last = int(np.flatnonzero(names == keys[-1])[0])
+            open_ = (names[last], size[last], e[last].copy())
+            rest = np.arange(len(names)) != last
+            if rest.any():
+                yield pd.DataFrame({"bucket": names[rest], "side": which, "size": size[rest], "e": list(e[rest].astype(np.int64))})
+        if open_ is not None:
+            yield pd.DataFrame({"bucket": [open_[0]], "side": which, "size": [open_[1]], "e": [open_[2].astype(np.int64)]})
 
     return side.select("bucket", "hash").mapInPandas(run, "bucket long, side int, size long, e array<long>")
 
@@ -88,61 +105,72 @@ def _solve_bucket(a: np.ndarray | None, na: int, b: np.ndarray | None, nb: int,
     return ra, rb
 
 
-def solve(parts: DataFrame, degree: int) -> DataFrame:
-    """(bucket, side, hash): side 0/1 for a row only there, -1 for a bucket that needs a higher bound."""
+def solve(parts: DataFrame, degree: int, buckets: int) -> DataFrame:
+    """(bucket, side, hash): side 0/1 for a row only there, -1 for a bucket that needs a higher bound.
+
+    Sketches come sorted by bucket and are solved as they come: a task holds one
+    batch and the bucket that may go on in the next.
+    """
     zs = _points(degree + SPARE_POINTS)
 
+    def solved(bucket: int, rows: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int, int]]:
+        e: list[np.ndarray | None] = [None, None]
+        n = [0, 0]
+        for which, size, product in rows:
+            n[which] += size
+            e[which] = product if e[which] is None else mulmod(e[which], product)
+        got = _solve_bucket(e[0], n[0], e[1], n[1], degree, zs)
+        return [(bucket, -1, 0)] if got is None else [(bucket, 0, h) for h in got[0]] + [(bucket, 1, h) for h in got[1]]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = [b for b in batches if len(b)]
-        if not frames:
-            return
-        rows = pd.concat(frames, ignore_index=True)
-        both: dict[int, tuple[dict[int, int], np.ndarray, dict[int, int]]] = {}
-        for which in (0, 1):
-            side = rows[rows["side"] == which]
-            size = side.groupby("bucket")["size"].sum()
-            e = np.array(list(side["e"]), dtype=np.int64).astype(np.uint64) if len(side) else np.zeros((0, len(zs)), np.uint64)
-            names, prod = segment_products(side["bucket"].to_numpy(), e)
-            both[which] = ({int(k): i for i, k in enumerate(names)}, prod, {int(k): int(v) for k, v in size.items()})
-        out: list[tuple[int, int, int]] = []
-        for k in both[0][0].keys() | both[1][0].keys():
-            (ia, ea, na), (ib, eb, nb) = both[0], both[1]
-            got = _solve_bucket(ea[ia[k]] if k in ia else None, na.get(k, 0), eb[ib[k]] if k in ib else None, nb.get(k, 0), degree, zs)
-            out += [(k, -1, 0)] if got is None else [(k, 0, h) for h in got[0]] + [(k, 1, h) for h in got[1]]
-        yield pd.DataFrame(out, columns=["bucket", "side", "hash"])
-
-    # sketches are small but costly to solve: a fixed number of partitions is not coalesced by size
-    return parts.repartition(tasks(parts.sparkSession), "bucket").mapInPandas(run, "bucket long, side int, hash long")
-
-
-def differing_hashes(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(bucket, side, hash) of the rows that only one side has. a, b: written tables with bucket and hash."""
+        bucket, held = None, []
+        for b in batches:
+            out: list[tuple[int, int, int]] = []
+            for k, which, size, e in zip(b["bucket"], b["side"], b["size"], b["e"]):
+                if k != bucket:
+                    if held:
+                        out += solved(bucket, held)
+                    bucket, held = k, []
+                held.append((which, size, np.asarray(e, dtype=np.int64).astype(np.uint64)))
+            yield pd.DataFrame(out, columns=["bucket", "side", "hash"])
+        if held:
+            yield pd.DataFrame(solved(bucket, held), columns=["bucket", "side", "hash"])
+
+    # sketches are small but costly to solve: their number sets that of the partitions, not their bytes
+    n = max(tasks(parts.sparkSession), -(-buckets // BUCKETS_PER_TASK))
+    return parts.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(run, "bucket long, side int, hash long")
+
+
+def differing_hashes(a: DataFrame, b: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, side, hash) of the rows that only one side has. a, b: written tables with bucket and hash, in that order."""
     degree, found, left = FIRST_DEGREE, None, None
     while True:
         sides = [(a, 0), (b, 1)]
         if left is not None:
             sides = [(s.join(left, "bucket", "left_semi"), w) for s, w in sides]
         parts = sketches(*sides[0], degree + SPARE_POINTS).unionByName(sketches(*sides[1], degree + SPARE_POINTS))
-        step = stash(solve(parts, degree), "reconciled")
+        step = stash(solve(parts, degree, buckets), "reconciled")
         done = step.where("side >= 0")
         found = done if found is None else found.unionByName(done)
         left = step.where("side < 0").select("bucket")
-        if left.isEmpty():
+        buckets = left.count()
+        if not buckets:
             return found
         degree *= 2
 
 
-def differences(left: DataFrame, right: DataFrame, key: Sequence[str], fields: Sequence[str], names: tuple[str, str]) -> DataFrame:
+def differences(left: DataFrame, right: DataFrame, key: Sequence[str], fields: Sequence[str], names: tuple[str, str], rows: int | None = None) -> DataFrame:
     """(key..., kind, field_name, left_value, right_value) of two tables with one row per key.
 
     kind is only_<name> with an empty field_name, or differs with one row per
     differing field; null equals null. Two empty tables give no rows; one empty
-    table makes every row of the other an only_ row.
+    table makes every row of the other an only_ row. rows, about the number of
+    rows of the larger side, sets the number of buckets; without it they are counted.
     """
-    rows = max(left.count(), right.count())
+    rows = max(left.count(), right.count()) if rows is None else rows
     buckets = max(1, rows // BUCKET_ROWS)
-    sides = [stash(with_hashes(d, key, fields, buckets).repartition("bucket"), "side") for d in (left, right)]
-    hashes = differing_hashes(*sides)
+    sides = [stash(with_hashes(d, key, fields, buckets).repartition("bucket").sortWithinPartitions("bucket"), "side") for d in (left, right)]
+    hashes = differing_hashes(*sides, buckets)
     rest = []
     for i, (d, mark) in enumerate(zip(sides, "lr")):
         got = d.join(hashes.where(F.col("side") == i).select("bucket", "hash"), ["bucket", "hash"], "left_semi")
