@@ -2,9 +2,10 @@
 
 Header notices label a bounded training sample; the headers are then hidden, and
 a random forest learns from compression ratio, token entropy, identifier lengths,
-comment density and line shape. The forest decides files without a notice.
-Third-party copies read like hand-written code, so they are found by where they
-lie, by whose notice they carry, and by five-word shingles shared with such files.
+comment density, line shape, the share of literals and of dense long lines, and
+whether the file's five-word shingles lie in third-party code. The forest decides
+first; what it leaves, exact checks settle: a notice, a place, literals and next
+to nothing else, dense long lines throughout, shingles of third-party code.
 """
 
 from __future__ import annotations
@@ -35,12 +36,12 @@ TOOL_PROBABILITY = 0.6
 COPY_SHARE = 0.8
 WORDS = 5
 #: Share of a file's signs that lie in literals from which it is data; share of code on very long lines from which it is minified.
-DATA_SHARE, DATA_LEAST, LONG_LINE, MINIFIED_SHARE = 0.93, 400, 200, 0.5
+DATA_SHARE, LONG_LINE, MINIFIED_SHARE = 0.93, 200, 0.5
 #: log2 of the bits that stand for third-party shingles while candidates are sought; more shingles than about a
 #: tenth of the bits only let more candidates through to the exact count.
 FILTER_BITS = 25
 
-FEATURES = ["ratio", "entropy", "ident_mean", "ident_short", "ident_long", "ident_distinct", "comment_share", "line_mean", "line_max", "literal_share", "digit_share", "blank_share", "repeat_share"]
+FEATURES = ["ratio", "entropy", "ident_mean", "ident_short", "ident_long", "ident_distinct", "comment_share", "line_mean", "line_max", "literal_share", "digit_share", "blank_share", "repeat_share", "dense_share"]
 
 _PREAMBLE = re.compile(r"\A(?:\s+|//[^\n]*|/\*.*?\*/|<!--.*?-->|#![^\n]*|#[^\n]*)*", re.S)
 _COMMENTS = re.compile(r"/\*.*?\*/|^[ \t]*//[^\n]*$", re.S | re.M)
@@ -175,24 +176,26 @@ def features(body: str) -> list[float]:
         digits / max(1, len(bare)),
         sum(1 for x in lengths if x == 0) / len(lengths),
         1 - distinct / len(lines),
+        _dense_share(bare, max(lengths)),
     ]
 
 
-def is_data(body: str, f: list[float]) -> bool:
-    """Literals and next to nothing else."""
-    return f[9] >= DATA_SHARE and len(body) >= DATA_LEAST
+def is_data(f: list[float]) -> bool:
+    """Literals and next to nothing else, whatever the file's size."""
+    return f[FEATURES.index("literal_share")] >= DATA_SHARE
 
 
-def is_minified(body: str, f: list[float]) -> bool:
+def is_minified(f: list[float]) -> bool:
     """Most of the code, literals aside, on very long lines without blanks between words and signs."""
-    if f[8] < LONG_LINE:
-        return False
-    bare = _LITERALS.sub("0", _COMMENTS.sub("", body))
-    lines = bare.split("\n")
-    total = sum(map(len, lines))
-    long = [x for x in lines if len(x) >= LONG_LINE]
-    dense = sum(len(x) for x in long if x.count(" ") < 0.12 * len(x))
-    return total > 0 and dense >= MINIFIED_SHARE * total
+    return f[FEATURES.index("dense_share")] >= MINIFIED_SHARE
+
+
+def _dense_share(bare: str, longest: int) -> float:
+    if longest < LONG_LINE:
+        return 0.0
+    lines = _LITERALS.sub("0", bare).split("\n")
+    dense = sum(len(x) for x in lines if len(x) >= LONG_LINE and x.count(" ") < 0.12 * len(x))
+    return dense / max(1, sum(map(len, lines)))
 
 
 def _positions(hashes: np.ndarray) -> np.ndarray:
@@ -251,7 +254,7 @@ def facts(files: DataFrame, known: DataFrame) -> DataFrame:
                     if len(h):
                         at = _positions(h)
                         copy = bool(((bits[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32)) & 1).mean() >= COPY_SHARE)
-                rows.append((i, said, placed, is_data(body, f), is_minified(body, f), copy, f))
+                rows.append((i, said, placed, is_data(f), is_minified(f), copy, f))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _FACTS.split(", ")])
 
     return stash(files.mapInPandas(run, _FACTS), "file-facts")
@@ -270,8 +273,9 @@ def copies(files: DataFrame, candidates: DataFrame, known: DataFrame) -> DataFra
 
 
 def train(read: DataFrame, limit: int = TRAINING_FILES):
-    """The forest, or None where too few files carry a notice. Tool notices and banners against own and kept notices."""
-    label = F.when(F.col("notice").isin("tool", "banner"), 1.0).when(F.col("notice").isin("own", "kept") & ~F.col("placed"), 0.0)
+    """The forest, or None where too few files carry a notice. Notices of tools and third parties and banners against
+    own and kept notices; a copy in a third party's folder is labelled as its notice would."""
+    label = F.when(F.col("notice").isin("tool", "banner", "foreign") | F.col("placed"), 1.0).when(F.col("notice").isin("own", "kept"), 0.0)
     labelled = read.withColumn("label", label).where(F.col("label").isNotNull()).select("label", "features", F.xxhash64("file_id").alias("h"), "file_id")
     parts = [labelled.where(F.col("label") == k).orderBy("h", "file_id").limit(limit) for k in (0.0, 1.0)]
     sample = stash(parts[0].unionByName(parts[1]).select("label", array_to_vector("features").alias("vector")).coalesce(1), "labelled")
@@ -284,25 +288,28 @@ def train(read: DataFrame, limit: int = TRAINING_FILES):
 def judged(files: DataFrame) -> DataFrame:
     """(file_id, reason, chance): the files nobody wrote by hand, each with the first reason that holds.
 
-    Reasons: third-party, tool (a notice), data, minified, copy, forest. A
-    notice that hand-work has taken over ("kept by hand") outweighs the forest
-    but no exact rule. Null, empty and blank bodies are no cases. A file delivered
-    again is judged again; an empty table gives no rows.
+    Reasons: forest, third-party (a notice or a place), tool (a notice), data,
+    minified, copy. A notice that hand-work has taken over ("kept by hand")
+    outweighs the forest but no exact check. Null, empty and blank bodies are no
+    cases. A file delivered again is judged again; an empty table gives no rows.
     """
     bodies = spread(files.select("file_id", "file_name", "module_path", "body").where(F.col("body").rlike(r"\S")))
     known = _third_party_shingles(bodies.drop("file_id"))
     read = facts(bodies, known)
     same = copies(bodies, read.where("maybe_copy"), known).withColumn("same", F.lit(True))
+    # a third party's own files lie in its code by what they are; of the others that is counted
+    own = (F.col("notice") == "foreign") | F.col("placed") | F.col("same")
+    read = read.join(same, "file_id", "left").withColumn("features", F.concat("features", F.array(F.when(own, 1.0).otherwise(0.0))))
     model = train(read)
     scored = read.withColumn("chance", F.lit(0.0))
     if model is not None:
         scored = model.transform(read.withColumn("vector", array_to_vector("features"))).withColumn("chance", vector_to_array("chance")[1])
     reason = (
-        F.when((F.col("notice") == "foreign") | F.col("placed"), "third-party")
+        F.when((F.col("chance") >= TOOL_PROBABILITY) & (F.col("notice") != "kept"), "forest")
+        .when((F.col("notice") == "foreign") | F.col("placed"), "third-party")
         .when(F.col("notice") == "tool", "tool")
         .when(F.col("data"), "data")
         .when(F.col("minified"), "minified")
         .when(F.col("same"), "copy")
-        .when((F.col("chance") >= TOOL_PROBABILITY) & (F.col("notice") != "kept"), "forest")
     )
-    return scored.join(same, "file_id", "left").select("file_id", reason.alias("reason"), "chance").where("reason IS NOT NULL")
+    return scored.select("file_id", reason.alias("reason"), "chance").where("reason IS NOT NULL")
