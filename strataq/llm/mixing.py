@@ -22,17 +22,21 @@ from strataq.llm.sizes import TOKENIZER, token_count
 KNAPSACK_TOKENS = 1 << 16
 KNAPSACK_BITS = 1 << 29
 ITEMS_PER_SALT = 500_000
+#: Part of all weight that sources too small for theirs may miss, so that one of a few texts does not set the size of all.
+SHORTFALL = 0.05
 
 
-def knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many of each length, so that the sum comes as near below the budget as any choice does."""
+def knapsack(counts: dict[int, int], budget: int, over: int = 0) -> dict[int, int]:
+    """How many of each length, so that the sum comes as near the budget as any choice up to `over` above it does; of two
+    as near the smaller."""
+    most = budget + over
     parts: list[tuple[int, int]] = []  # (length, how many at once): binary split of each count
     for length in sorted(counts):
-        n, k = min(counts[length], budget // length if length else 0), 1
+        n, k = min(counts[length], most // length if length else 0), 1
         while n > 0:
             parts.append((length, min(k, n)))
             n, k = n - k, k * 2
-    mask = (1 << (budget + 1)) - 1
+    mask = (1 << (most + 1)) - 1
     layers, reach = [], 1
     used: list[tuple[int, int]] = []
     for length, k in parts:
@@ -43,7 +47,11 @@ def knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
             layers.append(reach)
             used.append((length, k))
             reach = more
-    at, out = reach.bit_length() - 1, {}
+    below = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+    above = reach >> (budget + 1)
+    at, out = below, {}
+    if above and (step := (above & -above).bit_length()) < budget - below:
+        at = budget + step
     for (length, k), before in zip(reversed(used), reversed(layers)):
         if not before >> at & 1:
             at -= length * k
@@ -57,13 +65,13 @@ def _bits(counts: dict[int, int], budget: int) -> int:
 
 
 def fit_budget(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many texts of each length make up a budget below the sum of all.
+    """How many texts of each length make up a budget below the sum of all, as nearly as may be on either side.
 
     Every length gives its proportional part, the longest one more while room
     is left, and a knapsack closes the rest. Where that misses the budget, the
     knapsack chooses anew from the proportional part on, then from nothing, each
-    up to KNAPSACK_BITS. Beyond, less than the longest text and KNAPSACK_TOKENS / 2
-    can be missed.
+    up to KNAPSACK_BITS, and then so that less is passed than was missed. Beyond,
+    less than the longest text and KNAPSACK_TOKENS / 2 can be missed.
     """
     total = sum(length * n for length, n in counts.items())
     if budget <= 0 or not total:
@@ -78,41 +86,60 @@ def fit_budget(counts: dict[int, int], budget: int) -> dict[int, int]:
         if more[length] < counts[length] and length <= rest - KNAPSACK_TOKENS // 2:
             more[length] += 1
             rest -= length
-    best, reached = {}, -1
-    for take in (more, part, dict.fromkeys(counts, 0)):
-        left = budget - sum(length * n for length, n in take.items())
-        free = {k: n - take[k] for k, n in counts.items() if 0 < k <= left and n > take[k]}
-        if take is not more and _bits(free, left) > KNAPSACK_BITS:
-            continue
-        got = Counter(take) + Counter(knapsack(free, left))
-        size = sum(length * n for length, n in got.items())
-        if size > reached:
-            best, reached = dict(got), size
-        if reached == budget:
-            break
+    best, missed = {}, budget
+    for above in (False, True):
+        for take in (more, part, dict.fromkeys(counts, 0)):
+            over = missed - 1 if above else 0
+            left = budget - sum(length * n for length, n in take.items())
+            free = {k: n - take[k] for k, n in counts.items() if 0 < k <= left + over and n > take[k]}
+            if (above or take is not more) and _bits(free, left + over) > KNAPSACK_BITS:
+                continue
+            got = Counter(take) + Counter(knapsack(free, left, over))
+            off = abs(sum(length * n for length, n in got.items()) - budget)
+            if off < missed:
+                best, missed = dict(got), off
+            if not missed:
+                return best
     return best
 
 
 def sized_texts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, n_tokens), one row per source and different text (the least id of its copies): a text
-    delivered under several ids is one text, so that the cap on repeats holds for it."""
-    documents = spread(documents.select("doc_id", "source", "text"))
-    distinct = (
-        documents.where(F.col("source").isNotNull() & (F.length("text") > 0))
-        .groupBy("source", F.sha2("text", 256).alias("_same"))
-        .agg(F.min("doc_id").alias("doc_id"))
-        .select(F.col("doc_id"), F.col("source"))
-    )
-    sized = documents.where(F.col("source").isNotNull() & (F.length("text") > 0)).select("doc_id", "source", token_count(F.col("text"), tokenizer).alias("n_tokens"))
-    return sized.join(distinct, ["doc_id", "source"], "left_semi").dropDuplicates(["doc_id"])
+    """(doc_id, source, n_tokens, text_hash), one row per source and different text (the least id of its copies): a text
+    delivered under several ids is one text, so that the cap on repeats holds for it. An id with two texts gives both."""
+    texts = spread(documents.select("doc_id", "source", "text")).where(F.col("source").isNotNull() & (F.length("text") > 0))
+    sized = texts.select("doc_id", "source", F.sha2("text", 256).alias("text_hash"), token_count(F.col("text"), tokenizer).alias("n_tokens"))
+    return sized.groupBy("source", "text_hash").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens")).select("doc_id", "source", "n_tokens", "text_hash")
+
+
+def largest_size(limits: list[tuple[float, float]], shortfall: float) -> float:
+    """The largest size at which no more than `shortfall` of all weight is missed by sources that reach their cap.
+
+    limits are (share wanted, tokens a source may give at most). What is missed
+    at size x is the sum of share - tokens / x over the sources below their
+    share; it grows with x, so the last piece that holds the bound is found by
+    adding sources in the order in which they reach their caps.
+    """
+    order = sorted((tokens / share, share, tokens) for share, tokens in limits if share > 0)
+    size = order[0][0] if order else 0.0
+    wanted = given = 0.0
+    for i, (_, share, tokens) in enumerate(order):
+        wanted, given = wanted + share, given + tokens
+        reach = order[i + 1][0] if i + 1 < len(order) else given / share if wanted <= shortfall else float("inf")
+        if wanted <= shortfall:
+            size = reach
+            continue
+        return max(size, min(reach, given / (wanted - shortfall)))
+    return size
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, tokenizer: str = TOKENIZER) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | str | None = None, shortfall: float = SHORTFALL, seed: int = 7, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, n_tokens, copies): the texts drawn and how often each is used.
 
-    Without total_tokens the mix is the largest in which every source that has
-    texts reaches its weight under its cap; with it, a source whose cap is too
-    low gives all it may, and the shares fall short accordingly. Weights are
+    Without total_tokens the mix is the largest in which sources that reach
+    their cap miss at most `shortfall` of all weight; with 0 every source that
+    has texts reaches its weight, and the smallest bounds the size. With it ("all"
+    is what all targeted texts have) a source whose cap is too low gives all it
+    may, and the shares fall short accordingly; shares() reports them. Weights are
     relative to the sources that have texts. Sources without a target, null
     sources and texts without tokens are not drawn; a null cap means once.
     targets is a small fixed table (its size is checked).
@@ -126,7 +153,12 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     have = {r["source"]: (r["t"], r["n"]) for r in counts.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n")).alias("t"), F.sum("n").alias("n")).join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").collect()}
     goal = {r["source"]: (r["w"], r["r"]) for r in few if r["source"] in have}
     weight = sum(w for w, _ in goal.values())
-    size = total_tokens if total_tokens is not None else min((r * have[s][0] * weight / w for s, (w, r) in goal.items()), default=0)
+    if total_tokens == "all":
+        size = sum(have[s][0] for s in goal)
+    elif total_tokens is not None:
+        size = total_tokens
+    else:
+        size = largest_size([(w / weight, r * have[s][0]) for s, (w, r) in goal.items()], shortfall)
     budgets = {s: min(int(size * w / weight), r * have[s][0]) for s, (w, r) in goal.items()}
     caps = {s: r for s, (_, r) in goal.items()}
 
@@ -141,7 +173,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
 
     # a group holds one row per distinct length of a source: at most the square root of twice its tokens
     plans = counts.where(F.col("source").isin(list(goal))).groupBy("source").applyInPandas(plan, "source string, n_tokens long, passes long, more long")
-    ranked = salted_rank(sized, ["source", "n_tokens"], seed, ["doc_id"], "rank", max(4, sum(n for _, n in have.values()) // ITEMS_PER_SALT))
+    ranked = salted_rank(sized, ["source", "n_tokens"], seed, ["doc_id", "text_hash"], "rank", max(4, sum(n for _, n in have.values()) // ITEMS_PER_SALT))
     return (
         ranked.join(plans, ["source", "n_tokens"])
         .select("doc_id", "source", "n_tokens", (F.col("passes") + F.when(F.col("rank") <= F.col("more"), 1).otherwise(0)).cast("int").alias("copies"))

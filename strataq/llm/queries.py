@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strataq.common import table
 from strataq.llm.containers import fill_containers, fill_report
 from strataq.llm.garbling import find_garbled
 from strataq.llm.handwritten import judged
-from strataq.llm.mixing import mix, shares, sized_texts
+from strataq.llm.mixing import mix, shares
 from strataq.llm.pairs import documented, pairs
 
 
@@ -45,12 +44,18 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(p7_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p7_mix_balanced(spark: SparkSession, d: str) -> DataFrame:
+    """The largest mix in which every source reaches its weight."""
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), shortfall=0.0)
+
+
+def p7_shares_balanced(spark: SparkSession, d: str) -> DataFrame:
+    return shares(p7_mix_balanced(spark, d), table(spark, d, "mix_targets"))
+
+
 def p7_mix_of_all(spark: SparkSession, d: str) -> DataFrame:
     """The mix as large as all targeted texts together: small sources repeat up to their caps and fall short."""
-    documents, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
-    known = sized_texts(documents).join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
-    size = known.agg(F.sum("n_tokens")).first()[0] or 0
-    return mix(documents, targets, total_tokens=size)
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), total_tokens="all")
 
 
 def p7_shares_of_all(spark: SparkSession, d: str) -> DataFrame:
@@ -65,5 +70,5 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     return find_garbled(table(spark, d, "documents"), with_text=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p5_found, p5_pairs, p6_containers, p6_report, p7_mix, p7_shares, p7_mix_of_all, p7_shares_of_all, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p5_found, p5_pairs, p6_containers, p6_report, p7_mix, p7_shares, p7_mix_balanced, p7_shares_balanced, p7_mix_of_all, p7_shares_of_all, p8_found, p8_restored)}
 SQL: dict[str, str] = {}
