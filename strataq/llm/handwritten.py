@@ -296,7 +296,7 @@ def judged(files: DataFrame) -> DataFrame:
     bodies = spread(files.select("file_id", "file_name", "module_path", "body").where(F.col("body").rlike(r"\S")))
     known = _third_party_shingles(bodies.drop("file_id"))
     read = facts(bodies, known)
-    same = copies(bodies, read.where("maybe_copy"), known).withColumn("same", F.lit(True))
+    same = stash(copies(bodies, read.where("maybe_copy"), known), "third-party-copies").withColumn("same", F.lit(True))  # training and scoring read it
     # a third party's own files lie in its code by what they are; of the others that is counted
     own = (F.col("notice") == "foreign") | F.col("placed") | F.col("same")
     read = read.join(same, "file_id", "left").withColumn("features", F.concat("features", F.array(F.when(own, 1.0).otherwise(0.0))))

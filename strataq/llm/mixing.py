@@ -120,16 +120,14 @@ def largest_size(limits: list[tuple[float, float]], shortfall: float) -> float:
     adding sources in the order in which they reach their caps.
     """
     order = sorted((tokens / share, share, tokens) for share, tokens in limits if share > 0)
-    size = order[0][0] if order else 0.0
     wanted = given = 0.0
     for i, (_, share, tokens) in enumerate(order):
         wanted, given = wanted + share, given + tokens
-        reach = order[i + 1][0] if i + 1 < len(order) else given / share if wanted <= shortfall else float("inf")
-        if wanted <= shortfall:
-            size = reach
-            continue
-        return max(size, min(reach, given / (wanted - shortfall)))
-    return size
+        if wanted > shortfall:
+            size = given / (wanted - shortfall)
+            if i + 1 == len(order) or size <= order[i + 1][0]:
+                return size
+    return order[-1][0] if order else 0.0
 
 
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | str | None = None, shortfall: float = SHORTFALL, seed: int = 7, tokenizer: str = TOKENIZER) -> DataFrame:
