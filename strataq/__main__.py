@@ -47,6 +47,14 @@ def _arguments() -> argparse.ArgumentParser:
     return top
 
 
+def _table(rows, out: str | None, *order: str) -> str:
+    """A table written as a folder of CSV parts, or every row of it as text."""
+    if out:
+        render.write_csv(rows, out)
+        return ""
+    return "".join(render.table_lines(rows.orderBy(*order)))
+
+
 def _scan(spark, a) -> tuple[str, int]:
     s = runs.scan_module(spark, a.root, load_config(a.config or None), a.prefix)
     parts = a.components and records.components(spark, a.components)[1] or None
@@ -55,10 +63,9 @@ def _scan(spark, a) -> tuple[str, int]:
         found, stale = runs.findings(s, reviewed)
         still = found.where("NOT accepted").drop("accepted")
         if a.format == "metrics":
-            deps = runs.coupling.file_dependencies(s.parsed, runs.coupling.resolved_references(s.parsed), s.config.span_granularity)
+            deps = runs.coupling.file_dependencies(s.parsed, runs.coupling.met_references(s.parsed), s.config.span_granularity)
             rows = render.metrics(runs.fact(s.parsed, "units"), deps)
-            render.write_csv(rows, a.out) if a.out else rows.orderBy("file", "line").show(1000, False)
-            text = ""
+            text = _table(rows, a.out, "file", "line")
         elif a.format == "text":
             summary = render.accepted_text(review.accepted_summary(found, reviewed, ["rule", "file", "element"])) if reviewed is not None and not a.prefix else ""
             text = render.findings_text(found) + summary
@@ -67,6 +74,9 @@ def _scan(spark, a) -> tuple[str, int]:
             text = render.issues_markdown(issues)
             if a.out:
                 render.write_issue_files(issues, a.out)
+        elif a.out:
+            render.write_findings(still, a.out, a.format)
+            text = ""
         else:
             text = (render.findings_csv if a.format == "csv" else render.findings_json)(still)
         gone = render.stale_text(stale) if stale is not None else ""
@@ -75,13 +85,11 @@ def _scan(spark, a) -> tuple[str, int]:
     sets = records.unit_sets(spark, a.units) if a.units else None
     if a.format == "units":
         rows = render.units_audit(runs.all_units(s, sets))
-        render.write_csv(rows, a.out) if a.out else rows.orderBy("language", "file", "line").show(1000, False)
-        return "", render.PASSED
+        return _table(rows, a.out, "language", "file", "line"), render.PASSED
     got = runs.risk_profile(s, sets, records.deviations(spark, a.deviations) if a.deviations else None, parts)
     if a.format == "modules":
         rows = render.modules_audit(got["modules"])
-        render.write_csv(rows, a.out) if a.out else rows.orderBy("rel").show(1000, False)
-        return "", render.PASSED
+        return _table(rows, a.out, "rel"), render.PASSED
     snap = runs.snapshot(got, s.parsed.count())
     if a.format == "snapshot":
         return render.snapshot_json(snap, a.taken, a.rev), render.PASSED

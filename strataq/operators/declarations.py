@@ -2,26 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataq import dims
+from strataq.common import once, stash
 from strataq.frontend.scriptfacts import arity_at, constants, exported, record_shapes, unions
 
 
-def _extracted(files: DataFrame, read: Callable[[str], list[tuple]], columns: list[str], schema: str) -> DataFrame:
-    """(file, columns) of what `read` finds in each text. Texts are scanned by Python's engine: it has no depth that a
-    string of a megabyte could exceed, as the JVM's has."""
+_PAIRS = {"constants": ("name", "value"), "unions": ("label", "members"), "shapes": ("name", "fields"), "helpers": ("name", "arity")}
+_KINDS = {
+    "exports": pa.list_(pa.struct([("name", pa.string())])),
+    "constants": pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])),
+    "unions": pa.list_(pa.struct([("label", pa.string()), ("members", pa.list_(pa.string()))])),
+    "shapes": pa.list_(pa.struct([("name", pa.string()), ("fields", pa.list_(pa.string()))])),
+    "helpers": pa.list_(pa.struct([("name", pa.string()), ("arity", pa.int32())])),
+}
+_SCHEMA = "rel string, exports array<struct<name: string>>, constants array<struct<name: string, value: string>>, unions array<struct<label: string, members: array<string>>>, shapes array<struct<name: string, fields: array<string>>>, helpers array<struct<name: string, arity: int>>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def script_facts(files: DataFrame) -> DataFrame:
+    """(rel, exports, constants, unions, shapes, helpers): all that a text declares, from one reading of it. helpers are of
+    Go texts, the others of scripts. Texts are scanned by Python's engine: it has no depth that a string of a megabyte
+    could exceed, as the JVM's has. Written once; unchanged files are not read again in a session."""
+    read = {"exports": exported, "constants": constants, "unions": unions, "shapes": record_shapes}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = pd.DataFrame([(f, *x) for f, t in zip(b["rel"], b["text"]) for x in read(t)], columns=["file", *columns])
-            yield rows.astype({"arity": "Int64"}) if "arity" in columns else rows
+            rels, texts = b.column("rel").to_pylist(), b.column("text").to_pylist()
+            go = [r.endswith(".go") for r in rels]
+            columns = {k: [[] if g else [{"name": x[0]} if k == "exports" else dict(zip(_PAIRS[k], x)) for x in f(t)] for g, t in zip(go, texts)] for k, f in read.items()}
+            columns["helpers"] = [[dict(zip(_PAIRS["helpers"], x)) for x in arity_at(t)] if g else [] for g, t in zip(go, texts)]
+            yield pa.RecordBatch.from_arrays([b.column("rel"), *[pa.array(columns[k], t) for k, t in _KINDS.items()]], names=["rel", *_KINDS])
+
+    return once(files, "script-facts", lambda: stash(files.select("rel", "text").mapInArrow(run, _SCHEMA), "script-facts"))
 
-    return files.select("rel", "text").mapInPandas(run, f"file string, {schema}")
+
+def _extracted(files: DataFrame, kind: str) -> DataFrame:
+    """(file, fields of the kind), of files with texts or of their script_facts()."""
+    facts = files if kind in files.columns else script_facts(files)
+    return facts.select(F.col("rel").alias("file"), F.inline(kind))
 
 
 def _site(file: Column, name: Column) -> Column:
@@ -30,7 +53,7 @@ def _site(file: Column, name: Column) -> Column:
 
 def exported_names(files: DataFrame) -> DataFrame:
     """(name, file) of exports; the further names of a one-line declaration count too."""
-    return _extracted(files, exported, ["name"], "name string").distinct()
+    return _extracted(files, "exports").distinct()
 
 
 def duplicate_exports(files: DataFrame) -> DataFrame:
@@ -38,9 +61,31 @@ def duplicate_exports(files: DataFrame) -> DataFrame:
     return exported_names(files).groupBy("name").agg(F.array_sort(F.collect_set("file")).alias("files")).where(F.size("files") > 1)
 
 
+def repeated(rows: DataFrame, key: str, holds: Column) -> DataFrame:
+    """The rows of the keys for which an aggregate condition holds: a class of any size stays rows and is never one list."""
+    return rows.join(rows.groupBy(key).agg(holds.alias("_holds")).where("_holds").select(key), key, "left_semi")
+
+
+def export_sites(files: DataFrame) -> DataFrame:
+    """(name, file): duplicate_exports() as rows."""
+    return repeated(exported_names(files), "name", F.count(F.lit(1)) > 1)
+
+
+def value_sites(files: DataFrame) -> DataFrame:
+    """(value, file, name): duplicate_values() as rows."""
+    more = (F.count(F.lit(1)) > 1) & ((F.min("name") != F.max("name")) | (F.min("file") != F.max("file")))
+    return repeated(string_constants(files), "value", more).select("value", "file", "name")
+
+
+def sites_of_unions(files: DataFrame) -> DataFrame:
+    """(members, file, name): duplicate_unions() as rows, members joined by |."""
+    rows = union_sites(files).select(F.array_join("members", "|").alias("members"), "file", F.col("label").alias("name"))
+    return repeated(rows, "members", F.count(F.lit(1)) > 1)
+
+
 def string_constants(files: DataFrame) -> DataFrame:
     """(file, name, value) of constants bound to a string of four characters or more; a template with a substitution is none."""
-    return _extracted(files, constants, ["name", "value"], "name string, value string").where(F.length("value") >= dims.MIN_VALUE_LENGTH)
+    return _extracted(files, "constants").where(F.length("value") >= dims.MIN_VALUE_LENGTH)
 
 
 def duplicate_values(files: DataFrame) -> DataFrame:
@@ -51,7 +96,7 @@ def duplicate_values(files: DataFrame) -> DataFrame:
 
 def union_sites(files: DataFrame) -> DataFrame:
     """(file, label, members): unions of three or more string members, members sorted."""
-    return _extracted(files, unions, ["label", "members"], "label string, members array<string>").withColumn("members", F.array_sort("members"))
+    return _extracted(files, "unions").withColumn("members", F.array_sort("members"))
 
 
 def duplicate_unions(files: DataFrame) -> DataFrame:
@@ -85,7 +130,7 @@ def union_subsets(files: DataFrame) -> DataFrame:
 
 def record_sites(files: DataFrame) -> DataFrame:
     """(file, name, fields) of interfaces and object types with four fields or more."""
-    return _extracted(files, record_shapes, ["name", "fields"], "name string, fields array<string>").where(F.size("fields") >= dims.MIN_FIELDS)
+    return _extracted(files, "shapes").where(F.size("fields") >= dims.MIN_FIELDS)
 
 
 def duplicate_shapes(files: DataFrame) -> DataFrame:
@@ -96,7 +141,7 @@ def duplicate_shapes(files: DataFrame) -> DataFrame:
 
 def go_helpers(files: DataFrame) -> DataFrame:
     """(name, file, package, arity) of unexported top-level functions; the arity of a list that never closes is null."""
-    heads = _extracted(files.where(F.col("rel").endswith(".go")), arity_at, ["name", "arity"], "name string, arity int")
+    heads = _extracted(files, "helpers")
     # a file at the root has no directory; its name less the last letter stands for one, so each is on its own
     package = F.when(F.col("file").contains("/"), F.regexp_replace("file", r"/[^/]*$", "")).otherwise(F.expr("left(file, length(file) - 1)"))
     return heads.select("name", "file", package.alias("package"), "arity")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataq import dims
+from strataq.common import stash
 
 SALTS = 16
 
@@ -58,18 +59,32 @@ def ordered(findings: DataFrame) -> DataFrame:
 
 
 def sectioned(findings: DataFrame, order: list) -> DataFrame:
-    """Findings numbered 1, 2, ... within their rule; a rule without findings has one row with nulls, so that its section shows."""
+    """Findings numbered 1, 2, ... within their rule; a rule without findings has one row with nulls, so that its section shows.
+
+    Rules are few and may be hot, so the findings are sorted by ranges of rule and
+    order; a number is the place in the range plus the rule's rows in the ranges before.
+    """
     spark = findings.sparkSession
     rules = spark.createDataFrame([(r, i) for i, r in enumerate(dims.RULES)], "rule string, rank int")
-    w = Window.partitionBy("rule").orderBy(*order)
-    return F.broadcast(rules).join(findings.withColumn("id", F.row_number().over(w)), "rule", "left")
+    ranged = stash(findings.repartitionByRange("rule", *order).withColumn("_part", F.spark_partition_id()), "sections")
+    in_part = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_part", "rule").orderBy(*order)))
+    sizes = ranged.groupBy(F.col("_part").alias("_p"), F.col("rule").alias("_rule")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_rule").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_p", "_rule", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = in_part.join(offsets, (F.col("_part") == F.col("_p")) & F.col("rule").eqNullSafe(F.col("_rule")))
+    numbered = placed.withColumn("id", (F.col("_place") + F.col("_before")).cast("int")).drop("_part", "_place", "_p", "_rule", "_before")
+    return F.broadcast(rules).join(numbered, "rule", "left")
 
 
 def top(rows: DataFrame, group: list[str], order: list, n: int) -> DataFrame:
-    """The first n of each group, with how many more there are."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    whole = Window.partitionBy(*group)
-    return rows.withColumn("place", F.row_number().over(w)).withColumn("more", F.greatest(F.count(F.lit(1)).over(whole) - n, F.lit(0))).where(F.col("place") <= n)
+    """The first n of each group, with how many more there are. Each group is cut down within salted parts first, so that
+    at most n rows a part are ranked as a whole; its size is counted apart."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]), F.lit(SALTS)))
+    near = salted.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_salt").orderBy(*order))).where(F.col("_r") <= n)
+    first = near.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("place") <= n).drop("_r", "_salt")
+    sizes = rows.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group]).agg(F.count(F.lit(1)).alias("_size"))
+    on = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]
+    return first.join(sizes, on).withColumn("more", F.greatest(F.col("_size") - n, F.lit(0))).drop("_size", *[f"_g_{g}" for g in group])
 
 
 def counts(findings: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ def golden_violations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def golden_declarations(spark: SparkSession, d: str) -> DataFrame:
-    files = script_sources(_tree(spark, _SCRIPTS))
+    files = decl.script_facts(script_sources(_tree(spark, _SCRIPTS)))
     typed = files.where(~F.col("rel").endswith(".go"))
     out = decl.ranked(decl.duplicate_exports(typed), decl.duplicate_values(typed), decl.duplicate_unions(typed), decl.union_subsets(typed), decl.duplicate_shapes(typed), decl.duplicate_helpers(decl.go_helpers(files)))
     return out.select("check", "title", F.array_join(F.transform("sites", lambda s: F.concat(s["file"], F.lit(":"), s["name"])), " ").alias("sites"), "score", "level")

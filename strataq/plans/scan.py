@@ -121,7 +121,7 @@ def declaration_scan(spark: SparkSession, roots: list[str], skip_paths: list[str
     for root in roots:
         one = tree.read_tree(spark, root).withColumn("rel", qualify("" if root in (".", "") else root.rstrip("/"), F.col("rel")))
         files = one if files is None else files.unionByName(one)
-    sources = tree.script_sources(files, skip_paths).select("rel", "text").cache()
+    sources = declarations.script_facts(tree.script_sources(files, skip_paths).select("rel", "text"))
     ts = sources.where(~F.col("rel").endswith(".go"))
     ranked = declarations.ranked(
         declarations.duplicate_exports(ts), declarations.duplicate_values(ts), declarations.duplicate_unions(ts), declarations.union_subsets(ts), declarations.duplicate_shapes(ts), declarations.duplicate_helpers(declarations.go_helpers(sources)), auto_import

@@ -30,8 +30,8 @@ def _scripts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _typed(spark: SparkSession, d: str) -> DataFrame:
-    """The TypeScript side: Go texts have checks of their own."""
-    return _scripts(spark, d).where(~F.col("rel").endswith(".go"))
+    """What scripts declare; Go texts have checks of their own."""
+    return decl.script_facts(_scripts(spark, d)).where(~F.col("rel").endswith(".go"))
 
 
 def generated_marker(spark: SparkSession, d: str) -> DataFrame:
@@ -124,15 +124,15 @@ def comment_only_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def duplicate_exports(spark: SparkSession, d: str) -> DataFrame:
-    return decl.duplicate_exports(_typed(spark, d)).select("name", F.explode("files").alias("file"))
+    return decl.export_sites(_typed(spark, d))
 
 
 def duplicate_values(spark: SparkSession, d: str) -> DataFrame:
-    return decl.duplicate_values(_typed(spark, d)).select("value", F.inline("sites"))
+    return decl.value_sites(_typed(spark, d))
 
 
 def duplicate_unions(spark: SparkSession, d: str) -> DataFrame:
-    return decl.duplicate_unions(_typed(spark, d)).select(F.array_join("members", "|").alias("members"), F.inline("sites"))
+    return decl.sites_of_unions(_typed(spark, d))
 
 
 def union_subsets(spark: SparkSession, d: str) -> DataFrame:
@@ -145,12 +145,12 @@ def duplicate_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def helper_per_package(spark: SparkSession, d: str) -> DataFrame:
-    return decl.duplicate_helpers(decl.go_helpers(_scripts(spark, d)))
+    return decl.duplicate_helpers(decl.go_helpers(decl.script_facts(_scripts(spark, d))))
 
 
 def severity_rank(spark: SparkSession, d: str) -> DataFrame:
     s = _typed(spark, d)
-    return decl.ranked(decl.duplicate_exports(s), decl.duplicate_values(s), decl.duplicate_unions(s), decl.union_subsets(s), decl.duplicate_shapes(s), decl.duplicate_helpers(decl.go_helpers(_scripts(spark, d))))
+    return decl.ranked(decl.duplicate_exports(s), decl.duplicate_values(s), decl.duplicate_unions(s), decl.union_subsets(s), decl.duplicate_shapes(s), decl.duplicate_helpers(decl.go_helpers(decl.script_facts(_scripts(spark, d)))))
 
 
 QUERIES = {

@@ -11,6 +11,7 @@ import csv
 import io
 import json
 import os
+from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
@@ -88,35 +89,58 @@ def accepted_text(summary: DataFrame) -> str:
     return "\n".join(out) + "\n"
 
 
-def stale_text(stale: DataFrame, limit: int = 100) -> str:
+def stale_text(stale: DataFrame) -> str:
     """What a stale-acceptance gate says; empty when it holds. Raised after the report is written."""
-    rows = stale.orderBy("rule", "file", "element").limit(limit).collect()
+    rows = stale.orderBy("rule", "file", "element").collect()  # no more than were recorded
     if not rows:
         return ""
-    return f"{stale.count()} acceptance(s) no longer match the code:" + "".join(f"\n  {r['rule']} {r['file']} {r['element']}: claims {r['count']}, matched {r['matched']}" for r in rows)
+    return f"{len(rows)} acceptance(s) no longer match the code:" + "".join(f"\n  {r['rule']} {r['file']} {r['element']}: claims {r['count']}, matched {r['matched']}" for r in rows)
 
 
-def findings_csv(findings: DataFrame) -> str:
-    """One section per rule, also for rules without findings; ids count from 1 in each."""
-    order = [F.col("value").desc(), "file", "line", "element"]
-    rows = review.sectioned(findings, order).orderBy("rank", "id").toLocalIterator()
-    out, last = [], None
-    for r in rows:
+_CSV_ORDER = ["file", "line", "element"]
+
+
+def findings_csv_lines(findings: DataFrame) -> Iterator[str]:
+    """One section per rule, also for rules without findings; ids count from 1 in each. Rows come one by one."""
+    last = None
+    for r in review.sectioned(findings, [F.col("value").desc(), *_CSV_ORDER]).orderBy("rank", "id").toLocalIterator():
         if r["rule"] != last:
-            out.append(("\n" if last else "") + r["rule"] + "\n" + _csv(["id", "element", "description", "filename", "line", "severity"], []).rstrip("\n") + "\n")
+            yield ("\n" if last else "") + r["rule"] + "\n" + _csv(["id", "element", "description", "filename", "line", "severity"], []).rstrip("\n") + "\n"
             last = r["rule"]
         if r["id"] is not None:
-            out.append(_csv([r["id"], r["element"], r["description"], r["file"], r["line"], r["severity"]], []))
-    return "".join(out)
+            yield _csv([r["id"], r["element"], r["description"], r["file"], r["line"], r["severity"]], [])
 
 
-def findings_json(findings: DataFrame) -> str:
-    """A list in report order; no findings is an empty list. A value of 0 is left out."""
-    out = []
+def findings_csv(findings: DataFrame) -> str:
+    return "".join(findings_csv_lines(findings))
+
+
+def findings_json_lines(findings: DataFrame) -> Iterator[str]:
+    """A list in report order; no findings is an empty list. A value of 0 is left out. Rows come one by one."""
+    opening = "["
     for r in review.ordered(findings).toLocalIterator():
         row = {"rule": r["rule"], "element": r["element"], "description": r["description"], "filename": r["file"], "line": r["line"], "severity": r["severity"]}
-        out.append(row | ({"value": r["value"]} if r["value"] else {}))
-    return json.dumps(out, indent=2, ensure_ascii=False) + "\n"
+        text = json.dumps(row | ({"value": r["value"]} if r["value"] else {}), indent=2, ensure_ascii=False)
+        yield opening + "\n  " + text.replace("\n", "\n  ")
+        opening = ","
+    yield "[]\n" if opening == "[" else "\n]\n"
+
+
+def findings_json(findings: DataFrame) -> str:
+    return "".join(findings_json_lines(findings))
+
+
+def write_findings(findings: DataFrame, path: str, kind: str) -> None:
+    """All findings as a folder of CSV or JSON parts in report order, written by the executors: rule, id within the rule and the rest."""
+    rows = review.sectioned(findings, [F.col("value").desc(), *_CSV_ORDER]).where("id IS NOT NULL").orderBy("rank", "id").select("rule", "id", "element", "description", F.col("file").alias("filename"), "line", "severity", "value")
+    (rows.write.mode("overwrite").option("header", True).csv(path) if kind == "csv" else rows.write.mode("overwrite").json(path))
+
+
+def table_lines(rows: DataFrame) -> Iterator[str]:
+    """Every row of a table as a line of CSV, one by one."""
+    yield _csv(rows.columns, [])
+    for r in rows.toLocalIterator():
+        yield _csv(list(r), [])
 
 
 def metrics(units: DataFrame, dependencies: DataFrame) -> DataFrame:
@@ -279,18 +303,23 @@ def agreement_text(stats: DataFrame, worst: DataFrame) -> str:
 
 
 def exemptions_text(partitioned: DataFrame) -> str:
-    rows = [r["path"] for r in partitioned.where("exempt").orderBy("path").limit(1000).collect()]
+    """How many changed files are exempt, and every one of them."""
+    rows = [r["path"] for r in partitioned.where("exempt").orderBy("path").toLocalIterator()]
     return f"{plural(len(rows), 'file')} changed in comments only\n" + "".join(f"  {p}\n" for p in rows)
 
 
-def declarations_report(ranked: DataFrame, scanned: int, as_json: bool = False, limit: int = 1000) -> str:
-    """The ranked declaration findings, at most `limit`, as JSON or text."""
+def declarations_report(ranked: DataFrame, scanned: int, as_json: bool = False, limit: int | None = None) -> str:
+    """The ranked declaration findings as JSON or text, all or the first `limit`; then the rest is counted."""
     from strataq.operators.declarations import in_rank
 
-    rows = in_rank(ranked).limit(limit).collect()
+    kept = in_rank(ranked)
+    rows = list((kept if limit is None else kept.limit(limit)).toLocalIterator())
+    more = ranked.count() - len(rows) if limit is not None else 0
     if as_json:
-        return json.dumps({"scanned": scanned, "findings": [r.asDict(recursive=True) for r in rows]}, indent=2, ensure_ascii=False) + "\n"
-    return "".join(f"{r['level']:<7}{r['score']:>3}  {r['check']}: {r['title']}\n" + "".join(f"           {w}\n" for w in r["why"]) + "".join(f"           {s['file']} ({s['name']})\n" for s in r["sites"]) for r in rows)
+        out = {"scanned": scanned, "findings": [r.asDict(recursive=True) for r in rows]} | ({"more": more} if more else {})
+        return json.dumps(out, indent=2, ensure_ascii=False) + "\n"
+    text = "".join(f"{r['level']:<7}{r['score']:>3}  {r['check']}: {r['title']}\n" + "".join(f"           {w}\n" for w in r["why"]) + "".join(f"           {s['file']} ({s['name']})\n" for s in r["sites"]) for r in rows)
+    return text + (f"and {thousands(more)} more\n" if more else "")
 
 
 def fail_on(findings: DataFrame, severity: str) -> int:
