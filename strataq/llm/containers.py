@@ -70,7 +70,7 @@ def best_fit(histogram: dict[int, int], capacity: int) -> tuple[list[PlanRow], i
 _PLAN = StructType(
     [StructField("container_kind", StringType()), StructField("item_tokens", LongType())]
     + [StructField(c, LongType()) for c in ("rank_from", "rank_to", "container_from")]
-    + [StructField("items_each", LongType())]
+    + [StructField("items_each", LongType()), StructField("block", LongType())]
 )
 
 
@@ -115,14 +115,16 @@ def fill_containers(documents: DataFrame, kinds: DataFrame, tokenizer: str = TOK
     histogram: dict[str, dict[int, int]] = {}
     for r in items.groupBy("container_kind", "item_tokens").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
         histogram.setdefault(r["container_kind"], {})[r["item_tokens"]] = r["n"]
-    rows = [(kind, *row) for kind, h in histogram.items() for row in best_fit(h, capacity[kind])[0]]
+    # a length's ranks are joined in blocks, so that one length of a third of all items is many keys
+    rows = [(kind, *row, block) for kind, h in histogram.items() for row in best_fit(h, capacity[kind])[0] for block in range(row[1] // ITEMS_PER_SALT, row[2] // ITEMS_PER_SALT + 1)]
     plan = spark.createDataFrame(rows, _PLAN)
     total = sum(n for h in histogram.values() for n in h.values())
     ranked = salted_rank(items, ["container_kind", "item_tokens"], 6, ["doc_id", "piece_no"], "rank", max(4, total // ITEMS_PER_SALT))
     if len(rows) <= BROADCAST_PLAN_ROWS:
         plan = F.broadcast(plan)
     return (
-        ranked.join(plan, ["container_kind", "item_tokens"])
+        ranked.withColumn("block", F.floor(F.col("rank") / ITEMS_PER_SALT))
+        .join(plan, ["container_kind", "item_tokens", "block"])
         .where((F.col("rank") >= F.col("rank_from")) & (F.col("rank") <= F.col("rank_to")))
         .select(
             "container_kind",

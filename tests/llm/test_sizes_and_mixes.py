@@ -89,6 +89,22 @@ def test_containers(spark):
     assert fill_containers(docs(spark, ("x", "s")), kinds.where("false")).count() == 0
 
 
+def test_blocks_of_one_length(spark, monkeypatch):
+    """A length of many items is joined in blocks; the containers are the same."""
+    from strataq.llm import containers
+
+    texts = [(" word" * (5 if i % 3 else 9), "s") for i in range(90)]
+    kinds = spark.createDataFrame([("small", 23)], "container_kind string, capacity_tokens int")
+    whole = sorted(map(tuple, fill_containers(docs(spark, *texts), kinds).collect()))
+    monkeypatch.setattr(containers, "ITEMS_PER_SALT", 7)
+    split = fill_containers(docs(spark, *texts), kinds).collect()
+    assert len(split) == len(whole) == 90 and max(r["container_no"] for r in split) == max(r[1] for r in whole)
+    room = defaultdict(int)
+    for r in split:
+        room[r["container_no"]] += r["item_tokens"]
+    assert max(room.values()) <= 23
+
+
 def reachable(counts, budget):
     best = {0}
     for x, n in counts.items():
