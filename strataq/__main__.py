@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import functions as F
 
 from strataq.config import load_config, scan_settings
+from strataq.operators.tools import tool_verdicts
 from strataq.operators import agreement, changes, coverage, delta, profile, review
 from strataq.operators.snapshots import movement
 from strataq.plans import scan as runs
@@ -44,6 +46,12 @@ def _arguments() -> argparse.ArgumentParser:
     agree.add_argument("--language", default="Go")
     ratchet = sub.add_parser("changes", help="changed files without those that changed in comments only")
     ratchet.add_argument("repo"), ratchet.add_argument("base")
+    ratchet.add_argument("--patch", action="store_true", help="print the patch of the files that stay")
+    gate = sub.add_parser("tools", help="installed tools against the versions a project wants")
+    gate.add_argument("wanted", help="JSON: tool to command and wanted version")
+    plan = sub.add_parser("publish", help="what publishing the findings would do to a tracker's issues; nothing is sent")
+    plan.add_argument("root"), plan.add_argument("issues", help="the tracker's JSON export")
+    plan.add_argument("--config", default="")
     return top
 
 
@@ -95,7 +103,7 @@ def _scan(spark, a) -> tuple[str, int]:
         return render.snapshot_json(snap, a.taken, a.rev), render.PASSED
     base = records.baseline(spark, a.baseline or None)
     moves = None if base is None else movement(snap, base, "language")
-    text = render.profile_markdown(got["totals"], got["tails"], "language", moves, got["volume"]) + render.standing_markdown(got["standing"], got["distances"], "language")
+    text = render.profile_markdown(got["totals"], got["tails"], "language", moves, got["volume"], render.module_markdown(got, "language")) + render.standing_markdown(got["standing"], got["distances"], "language")
     return text, render.FAILURE if profile.unmeasured(got["totals"], "language").count() else render.PASSED
 
 
@@ -125,10 +133,23 @@ def run(argv: list[str], spark=None) -> tuple[str, int]:
     if a.command == "agreement":
         pairs = agreement.matched(records.inventory_by_place(spark, a.ours, a.language), records.second_tool(spark, a.theirs), ["file", "line"], ["loc", "mccabe", "params"], "ordinal")
         return render.agreement_text(agreement.agreement_stats(pairs), agreement.worst_divergence(pairs, 10)), render.PASSED
+    if a.command == "tools":
+        with open(a.wanted, encoding="utf-8") as f:
+            wanted = json.load(f)
+        rows = [(tool, records.tool_version(*w["command"]), w.get("wanted")) for tool, w in sorted(wanted.items())]
+        got = tool_verdicts(spark.createDataFrame(rows, "tool string, output string, wanted string")).orderBy("tool").collect()
+        return "".join(f"{r['tool']}: {r['verdict']}, {r['version'] or 'no version'} (wanted {r['wanted']})\n" for r in got), render.PASSED if all(r["verdict"] == "ok" for r in got) else render.FAILURE
+    if a.command == "publish":
+        found, _ = runs.findings(runs.scan_module(spark, a.root, load_config(a.config or None)), None)
+        mine = [(i["marker"], i["title"], i["body"]) for i in render.issues(found.drop("accepted"))]
+        actions = review.issue_actions(spark.createDataFrame(mine, "marker string, title string, body string"), records.issues(spark, a.issues))
+        return "".join(f"{r['action']} {'#' + str(r['number']) + ' ' if r['number'] is not None else ''}{r['title']}\n" for r in actions.orderBy("title").collect()), render.PASSED
     changed = records.git_changes(spark, a.repo, a.base)
     paths = [r["path"] for r in changed.where("status = 'M'").collect()]
     work = tree.read_tree(spark, a.repo, "*.go").select(F.col("rel").alias("path"), "body")
     kept = changes.partition_changes(changed, records.git_blobs(spark, a.repo, a.base, paths), work)
+    if a.patch:
+        return records.git_patch(a.repo, a.base, [r["path"] for r in kept.where("NOT exempt").orderBy("path").collect()]), render.PASSED
     return "".join(f"{r['status']} {r['path']}\n" for r in kept.where("NOT exempt").orderBy("path").collect()) + render.exemptions_text(kept), render.PASSED
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,8 +78,39 @@ def all_units(scan: Scan, sets: DataFrame | None = None) -> DataFrame:
     return own if sets is None else own.unionByName(sets.select("language", F.inline("units")))
 
 
+def all_modules(own: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """(language, file, loc, in_modules, in_refs, component, in_cross_component): the module's own files and those of external sets."""
+    columns = ["language", "file", "loc", "in_modules", "in_refs", "component", "in_cross_component"]
+    rows = own.select(F.lit("Go").alias("language"), F.col("rel").alias("file"), "loc", *[F.col(c).cast("long").alias(c) for c in ("in_modules", "in_refs")], "component", F.col("in_cross_component").cast("long").alias("in_cross_component"))
+    if sets is None:
+        return rows
+    outer = sets.select("language", F.inline("modules"))
+    return rows.unionByName(outer.select(*[F.col(c).cast("long").alias(c) if c.startswith("in_") else F.col(c) for c in columns]))
+
+
+def claims_of(sets: DataFrame | None, decided: bool) -> dict[str, dict]:
+    """Per language what it claims to measure and whether its components are decided; one row a language, read to the driver."""
+    out = {"Go": {"metrics": set(profile.dims.MODULE_METRICS), "decided": decided}}
+    if sets is not None:
+        for r in sets.select("language", "module_metrics", "components_decided").collect():
+            out[r["language"]] = {"metrics": set(r["module_metrics"] or []), "decided": bool(r["components_decided"])}
+    return out
+
+
+def _each(rows: DataFrame, languages: list[str], combined: bool, measure: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """measure() of each language's rows, and of all of them, labelled; None without a language."""
+    parts = [measure(rows.where(F.col("language") == k)).withColumn("language", F.lit(k)) for k in languages]
+    if combined:
+        parts.append(measure(rows).withColumn("language", F.lit(profile.COMBINED)))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
 def risk_profile(scan: Scan, sets: DataFrame | None = None, deviations: DataFrame | None = None, components: DataFrame | None = None) -> dict[str, DataFrame]:
-    """totals, tails (with deviations), standing, distances, volume, modules, coupling tails, duplication and, with components, independence and entanglement."""
+    """totals, tails (with deviations), standing, distances, volume, modules, coupling tails, duplication and, with components, independence and entanglement.
+
+    What a language does not claim to measure is absent for it, and the roll-up
+    holds only what every language claims.
+    """
     units = all_units(scan, sets)
     lines = scan.parsed.where("error IS NULL").select("module", "rel", "loc")
     outside = profile.non_unit_lines(lines, fact(scan.parsed, "units")).select(F.lit("Go").alias("language"), F.col("non_unit_loc").cast("long"))
@@ -87,7 +120,16 @@ def risk_profile(scan: Scan, sets: DataFrame | None = None, deviations: DataFram
     none = scan.parsed.sparkSession.createDataFrame([], records.DEVIATIONS)
     tails = profile.with_deviations(profile.tail_shares(units, "language"), "language", none if deviations is None else deviations)
     mods, deps = modules(scan, components)
+    every = all_modules(mods, sets)
+    claims = claims_of(sets, components is not None)
+    claiming = lambda metric: [k for k, c in claims.items() if metric in c["metrics"]]
+    by_all = lambda metric: len(claiming(metric)) == len(claims)
     incoming = F.col("in_refs") if scan.config.module_coupling_counts == "references" else F.col("in_modules")
+    coupled = profile.tail_shares(every.where(F.col("language").isin(claiming("coupling"))).withColumn("incoming", incoming), "language", {"module_coupling": profile.dims.MODULE_PROPERTIES["module_coupling"]})
+    own_lines = fact(scan.parsed, "lines")
+    all_lines = own_lines.select(F.lit("Go").alias("language"), F.col("rel").alias("file"), "i", "line_text")
+    if sets is not None:
+        all_lines = all_lines.unionByName(sets.select("language", F.inline("modules")).select("language", "file", F.posexplode("lines").alias("i", "line_text")))
     out = {
         "totals": totals,
         "tails": tails,
@@ -95,13 +137,23 @@ def risk_profile(scan: Scan, sets: DataFrame | None = None, deviations: DataFram
         "distances": profile.distances(tails, "language"),
         "volume": profile.volume(totals, "language"),
         "modules": mods,
-        "coupling": profile.tail_shares(mods.withColumn("incoming", incoming).withColumn("language", F.lit("Go")), "language", {"module_coupling": profile.dims.MODULE_PROPERTIES["module_coupling"]}),
-        "duplication": duplication.duplication(fact(scan.parsed, "lines"), ["module", "rel"]),
-        "module_duplication": duplication.module_duplication(fact(scan.parsed, "lines"), ["module", "rel"]),
+        "coupling": coupled if by_all("coupling") else coupled.where(F.col("language") != profile.COMBINED),
+        "duplication": _each(all_lines, claiming("duplication"), by_all("duplication"), lambda rows: duplication.duplication(rows, ["language", "file"])),
+        "module_duplication": duplication.module_duplication(own_lines, ["module", "rel"]),
     }
-    if components is not None:
-        edges = coupling.component_edges(deps, "source_component", "target_component", "source", "target").withColumn("language", F.lit("Go"))
-        out |= {"independence": coupling.independence(mods, profile.dims.INDEPENDENCE_FLOOR), "component_shares": coupling.component_shares(mods), "entanglement": graph.entanglement(edges, "language"), "violations": graph.violations(edges, "language")}
+    decided = [k for k in claiming("coupling") if claims[k]["decided"]]
+    if decided:
+        edges = [] if components is None else [coupling.component_edges(deps, "source_component", "target_component", "source", "target").withColumn("language", F.lit("Go"))]
+        if sets is not None:
+            edges.append(sets.where(F.col("language").isin(decided)).select("language", F.inline("component_edges")).select(F.col("from"), F.col("to"), F.col("weight").cast("long").alias("weight"), "language"))
+        lines_between = reduce(DataFrame.unionByName, edges)
+        bounded = every.where(F.col("language").isin(decided))
+        out |= {
+            "independence": _each(bounded, decided, False, lambda rows: coupling.independence(rows, profile.dims.INDEPENDENCE_FLOOR)),
+            "component_shares": _each(bounded, decided, False, coupling.component_shares),
+            "entanglement": graph.entanglement(lines_between, "language"),
+            "violations": graph.violations(lines_between, "language"),
+        }
     return out
 
 

@@ -202,8 +202,40 @@ def modules_audit(modules: DataFrame) -> DataFrame:
     return modules.select("*", (F.col("in_cross_component") == 0).alias("hidden"), profile.category_of(F.col("in_modules"), dims.MODULE_PROPERTIES["module_coupling"][1]).alias("module_coupling_category"))
 
 
-def profile_markdown(totals: DataFrame, tails: DataFrame, group: str, movement: DataFrame | None = None, volume: DataFrame | None = None) -> str:
-    """Per language: size, and each tail's share against its cap with the deviation recorded for it. tails from with_deviations."""
+def module_markdown(parts: dict[str, DataFrame], group: str) -> dict[str, list[str]]:
+    """Per language the sections on modules, components and duplication that were measured; parts from risk_profile()."""
+    out: dict[str, list[str]] = {}
+
+    def add(name: str, section: str) -> None:
+        out.setdefault(name, []).append(section)
+
+    def verdict(r: Row, unit: str, over: str) -> str:
+        return "" if r[group] == profile.COMBINED else "at cap" if "at_cap" in r and r["at_cap"] else "pass" if r["pass"] else f"over by {thousands(r[over])} {unit}"
+
+    tables: dict[str, list[list]] = {}
+    for r in parts["coupling"].orderBy(group, F.regexp_extract("tail", r"\d+", 0).cast("int")).collect():
+        tables.setdefault(r[group], []).append([r["tail"], thousands(r["elements"]), thousands(r["loc"]), f"{r['pct']:.1f}", f"{r['cap_pct']:.1f}", verdict(r, "lines", "excess_loc")])
+    for name, rows in tables.items():
+        add(name, "### Modules\n\n" + _table(["incoming", "modules", "lines", "%", "cap", "verdict"], rows))
+    shares: dict[str, list[list]] = {}
+    for r in parts["component_shares"].orderBy(group, F.col("exposed_pct").desc(), "component").collect() if "component_shares" in parts else []:
+        shares.setdefault(r[group], []).append([r["component"], thousands(r["modules"]), thousands(r["loc"]), thousands(r["exposed"]), f"{r['exposed_pct']:.1f}"])
+    for r in parts["independence"].collect() if "independence" in parts else []:
+        says = f"{r['pct']:.1f} % of {thousands(r['total_loc'])} lines hidden in their component, floor {r['floor_pct']:.1f}: " + ("pass" if r["pass"] else f"{thousands(r['exposed_loc'])} lines too many in the open")
+        add(r[group], "### Independence\n\n" + says + "\n\n" + _table(["component", "modules", "lines", "exposed", "%"], shares.get(r[group], [])))
+    bad: dict[str, list[list]] = {}
+    for r in parts["violations"].orderBy(group, F.col("weight").desc(), "from", "to").collect() if "violations" in parts else []:
+        bad.setdefault(r[group], []).append([r["kind"], r["from"], r["to"], r["weight"], r["detail"]])
+    for r in parts["entanglement"].collect() if "entanglement" in parts else []:
+        says = f"{plural(r['lines'], 'line')} between {r['connected']} components, density {r['density']:.2f}, violation degree {r['violation_degree']:.3f}"
+        add(r[group], "### Entanglement\n\n" + says + "\n" + ("\n" + _table(["kind", "from", "to", "weight", "why"], bad[r[group]]) if r[group] in bad else ""))
+    for r in parts["duplication"].collect() if parts.get("duplication") is not None else []:
+        add(r[group], f"### Duplication\n\n{thousands(r['redundant_loc'])} of {thousands(r['total_loc'])} lines ({r['pct']:.1f} %): {verdict(r, 'lines', 'excess_loc') or 'no verdict over all languages'}\n")
+    return out
+
+
+def profile_markdown(totals: DataFrame, tails: DataFrame, group: str, movement: DataFrame | None = None, volume: DataFrame | None = None, sections: dict[str, list[str]] | None = None) -> str:
+    """Per language: size, each tail's share against its cap with the deviation recorded for it, and its further sections. tails from with_deviations."""
     out = ["# Risk-profile distribution\n"]
     if movement is not None:
         out.append(movement_markdown(movement, group))
@@ -222,6 +254,9 @@ def profile_markdown(totals: DataFrame, tails: DataFrame, group: str, movement:
             if r["decided"]:
                 notes.append(f"{r['property']} {r['tail']}: {r['summary']} (decided {r['decided']}{', ' + r['ref'] if r['ref'] else ''})")
         out += [_table(["property", "tail", "units", "lines", "%", "cap", "verdict"], table), *[f"- {n}" for n in notes]]
+        if t[group] == profile.COMBINED:
+            out.append("No verdict: caps are set for one language at a time.\n")
+        out += (sections or {}).get(t[group], [])
     if volume is not None:
         out.append("## Volume\n\n" + _table(["language", "lines", "years"], [[v[group], thousands(v["loc"]), "not rated" if v["years"] is None else f"{v['years']:.1f}"] for v in volume.orderBy(F.col("loc").desc(), group).collect()]))
     return "\n".join(out)

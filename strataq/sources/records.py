@@ -192,6 +192,16 @@ def git_blobs(spark: SparkSession, repo: str, rev: str, paths: list[str]) -> Dat
     return spark.createDataFrame(rows, "path string, body string")
 
 
+def git_patch(repo: str, rev: str, paths: list[str]) -> str:
+    """The patch of these files since a revision; of none an empty one."""
+    if not paths:
+        return ""
+    got = subprocess.run(["git", "-C", repo, "diff", rev, "--", *paths], capture_output=True, text=True)
+    if got.returncode:
+        raise ValueError(got.stderr.strip())
+    return got.stdout
+
+
 def tool_version(binary: str, *args: str) -> str:
     """What a tool says of itself."""
     got = subprocess.run([binary, *args], capture_output=True, text=True)

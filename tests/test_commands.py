@@ -61,6 +61,31 @@ def test_profile(spark, module):
         run(["scan", str(module), "--format", "modules", "--components", write(module, "c2.json", {"decided": "d", "components": [{"name": "one", "paths": ["a"], "reason": "r"}]})], spark)
 
 
+def test_profile_of_external_modules(spark, module):
+    lines = [f"line {i}" for i in range(8)]
+    one = lambda name, coupled: {"file": name, "loc": 8, "in_modules": coupled, "in_refs": coupled, "component": "x", "in_cross_component": coupled, "lines": lines}
+    unit = {"element": "f", "file": "p.ts", "line": 1, "loc": 8, "mccabe": 1, "params": 0}
+    claims = lambda *m: {"language": "TypeScript", "non_unit_loc": 0, "units": [unit], "modules": [one("p.ts", 11), one("q.ts", 0)], "module_metrics": list(m)}
+    text, code = run(["scan", str(module), "--format", "profile", "--units", write(module, "d.json", claims("duplication"))], spark)
+    part = text.split("## TypeScript")[1].split("\n## ")[0]
+    assert code == 0 and "8 of 16 lines (50.0 %)" in part and "### Modules" not in part
+    rolled = text.split("## combined")[1].split("\n## ")[0]
+    assert "### Duplication" in rolled and "### Modules" not in rolled and "No verdict" in rolled
+    both = claims("duplication", "coupling") | {"components_decided": "2031", "component_edges": [{"from": "x", "to": "y", "weight": 3}]}
+    text = run(["scan", str(module), "--format", "profile", "--units", write(module, "e.json", both)], spark)[0]
+    part = text.split("## TypeScript")[1].split("\n## ")[0]
+    assert "| > 10 | 1 | 8 | 50.0 | 10.0 | over by 7 lines |" in part and "50.0 % of 16 lines hidden" in part and "1 line between 2 components" in part
+    assert "### Modules" in text.split("## combined")[1].split("\n## ")[0]
+
+
+def test_tools_and_publishing(spark, module):
+    wanted = {"golangci-lint": {"command": ["echo", "golangci-lint has version v2.1.0 built"], "wanted": "2.1.0"}, "govulncheck": {"command": ["echo", "Go: go1.20.1"], "wanted": "1.21"}}
+    text, code = run(["tools", write(module, "tools.json", wanted)], spark)
+    assert code == 2 and text == "golangci-lint: ok, 2.1.0 (wanted 2.1.0)\ngovulncheck: mismatch, 1.20.1 (wanted 1.21)\n"
+    text, _ = run(["publish", str(module), write(module, "issues.json", [{"number": 4, "title": "old", "body": "<!-- quality:NESTED_LOOP -->", "state": "open"}])], spark)
+    assert "create Parameter risk: 1 finding\n" in text and len(text.splitlines()) == 3
+
+
 def test_declarations(spark, module):
     text, code = run(["declarations", "--root", str(module / "web"), "--root", str(module / "none"), "--json", "--strict"], spark)
     found = json.loads(text)
